@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from .bpe import op6_bpe_transducer
 from .fingerprints import op1_document_fingerprints
+from .packing import op5_harmonic_packing
+from .seekable import op10_seekable_token_files
 from .sharding import op2_two_pass_sharding
 
-QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op2_two_pass_sharding)}
+QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op2_two_pass_sharding, op5_harmonic_packing, op6_bpe_transducer, op10_seekable_token_files)}
 
 #: what these queries compute has no SQL form here; tests/llm holds them against brute force
 ORACLE: dict[str, str] = {}
