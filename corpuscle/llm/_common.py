@@ -88,8 +88,10 @@ class _Powers:
         if len(self.up) < n:
             m = max(n, 2 * len(self.up), 1 << 16)
             with np.errstate(over="ignore"):
-                self.up = np.cumprod(np.concatenate(([1], np.full(m - 1, self.base, np.uint64))).astype(np.uint64), dtype=np.uint64)
-                self.down = np.cumprod(np.concatenate(([1], np.full(m - 1, self.inv_base, np.uint64))).astype(np.uint64), dtype=np.uint64)
+                self.up, self.down = np.full(m, self.base, np.uint64), np.full(m, self.inv_base, np.uint64)
+                self.up[0] = self.down[0] = 1
+                np.cumprod(self.up, out=self.up)
+                np.cumprod(self.down, out=self.down)
         return self.up, self.down
 
 

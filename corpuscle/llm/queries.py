@@ -5,10 +5,25 @@ from __future__ import annotations
 from .bpe import op6_bpe_transducer
 from .fingerprints import op1_document_fingerprints
 from .packing import op5_harmonic_packing
+from .quality import op8_quality_rules
 from .seekable import op10_seekable_token_files
 from .sharding import op2_two_pass_sharding
+from .token_counts import op4_unigram_token_counts
+from .toxicity import op7_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op2_two_pass_sharding, op5_harmonic_packing, op6_bpe_transducer, op10_seekable_token_files)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_document_fingerprints,
+        op2_two_pass_sharding,
+        op4_unigram_token_counts,
+        op5_harmonic_packing,
+        op6_bpe_transducer,
+        op7_toxicity,
+        op8_quality_rules,
+        op10_seekable_token_files,
+    )
+}
 
 #: what these queries compute has no SQL form here; tests/llm holds them against brute force
 ORACLE: dict[str, str] = {}
