@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op6_bpe_transducer
 from .fingerprints import op1_document_fingerprints
+from .ngram_join import op3_ngram_jaccard_join
 from .packing import op5_harmonic_packing
 from .quality import op8_quality_rules
 from .seekable import op10_seekable_token_files
@@ -16,6 +17,7 @@ QUERIES = {
     for f in (
         op1_document_fingerprints,
         op2_two_pass_sharding,
+        op3_ngram_jaccard_join,
         op4_unigram_token_counts,
         op5_harmonic_packing,
         op6_bpe_transducer,
