@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ._common import documents, id_and_text, slices
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
-LEXICON_WORDS, LOCAL_WORDS, MEMO_WORDS = 100_000, 60_000, 250_000
+LEXICON_WORDS, LOCAL_WORDS, MEMO_WORDS = 100_000, 60_000, 400_000
 
 _WS = r"\t-\r \x85\xa0  -     　"
 _L, _N = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
@@ -54,9 +54,44 @@ def byte_symbols() -> dict[int, str]:
     return {b: chr(b) for b in keep} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class PairTable:
+    """The place of a key among some distinct keys, by two hash tables and a sorted rest."""
+
+    def __init__(self, keys: np.ndarray, none: int):
+        self.none, self.tables = none, []
+        left = np.arange(len(keys))
+        for bits, factor in ((18, 0x9E3779B97F4A7C15), (16, 0xC2B2AE3D27D4EB4F)):
+            slot = self._slot(keys[left], bits, factor)
+            _, first = np.unique(slot, return_index=True)
+            key, place = np.full(1 << bits, -1, np.int64), np.full(1 << bits, none, np.int32)
+            key[slot[first]], place[slot[first]] = keys[left[first]], left[first]
+            self.tables.append((bits, factor, key, place))
+            left = np.delete(left, first)
+        order = np.argsort(keys[left])
+        self.keys, self.places = keys[left][order], left[order].astype(np.int32)
+
+    @staticmethod
+    def _slot(keys: np.ndarray, bits: int, factor: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((keys.astype(np.uint64) * np.uint64(factor)) >> np.uint64(64 - bits)).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        (bits, factor, key, place), (bits2, factor2, key2, place2) = self.tables
+        slot = self._slot(keys, bits, factor)
+        out = np.where(key[slot] == keys, place[slot], self.none)
+        slot = self._slot(keys, bits2, factor2)
+        out = np.where(key2[slot] == keys, place2[slot], out)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            out = np.where(self.keys[at] == keys, self.places[at], out)
+        return out
+
+
 class Merger:
     """Exact BPE merges of pretokens (bytes) for a tokenizer file, many words at a time."""
 
+    NONE = 1 << 30
+
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -67,14 +102,12 @@ class Merger:
         self.pattern = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         sym = byte_symbols()
         self.size = max(max(self.vocab.values()), max(self.special.values(), default=0)) + 1
-        self.first = np.array([self.vocab[sym[b]] for b in range(256)], np.int64)
-        self.last = np.array([self.vocab[sym[b] + self.suffix] for b in range(256)], np.int64)
+        self.first = np.array([self.vocab[sym[b]] for b in range(256)], np.int32)
+        self.last = np.array([self.vocab[sym[b] + self.suffix] for b in range(256)], np.int32)
         pairs = [(self.vocab[a], self.vocab[b], self.vocab[a + b]) for a, b in model["merges"]]
         self.rank = {(a, b): (i, c) for i, (a, b, c) in enumerate(pairs)}
-        key = np.array([a * self.size + b for a, b, _ in pairs], np.int64)
-        order = np.argsort(key, kind="stable")
-        self.keys, self.ranks = key[order], order
-        self.merged = np.array([c for *_, c in pairs], np.int64)
+        self.lookup = PairTable(np.array([a * self.size + b for a, b, _ in pairs], np.int64), self.NONE)
+        self.merged = np.array([c for *_, c in pairs], np.int32)
         back = {c: b for b, c in sym.items()}
         #: the bytes of each id
         self.bytes = [b""] * self.size
@@ -85,40 +118,32 @@ class Merger:
         for s, i in self.special.items():
             self.bytes[i] = s.encode()
 
-    NONE = 1 << 40
-
     def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        k = a * self.size + b
-        at = np.minimum(np.searchsorted(self.keys, k), len(self.keys) - 1)
-        return np.where((self.keys[at] == k) & (a >= 0) & (b >= 0), self.ranks[at], self.NONE)
+        return np.where((a >= 0) & (b >= 0), self.lookup(a.astype(np.int64) * self.size + b), self.NONE)
 
-    def _table(self, words: list[bytes], width: int) -> list[np.ndarray]:
+    def _table(self, words: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words in a row, and how many each has; the words step through their merges together."""
         n = len(words)
         size = np.array([len(w) for w in words])
-        flat = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(n, width)
+        flat = np.frombuffer(b"".join([w.ljust(width, b"\0") for w in words]), np.uint8).reshape(n, width)
         ids = self.first[flat]
         ids[np.arange(n), size - 1] = self.last[flat[np.arange(n), size - 1]]
-        col = np.arange(width)
-        ids[col >= size[:, None]] = -1
-        rank = np.full((n, width), self.NONE, np.int64)
-        if width > 1:
-            rank[:, :-1] = self._ranks(ids[:, :-1], ids[:, 1:])
-        live = np.arange(n)
-        cur, rk = ids, rank
-        out: list[np.ndarray | None] = [None] * n
-        while len(live):
+        ids[np.arange(width) >= size[:, None]] = -1
+        rank = np.full((n, width), self.NONE, np.int32)
+        rank[:, :-1] = self._ranks(ids[:, :-1], ids[:, 1:])
+        done = np.full((n, width), -1, np.int32)
+        live, cur, rk = np.arange(n), ids, rank
+        while True:
             at = rk.argmin(1)
-            row = np.arange(len(live))
-            best = rk[row, at]
+            best = rk[np.arange(len(live)), at]
             over = best >= self.NONE
             if over.any():
-                for i, r in zip(live[over].tolist(), cur[over]):
-                    out[i] = r[r >= 0]
+                done[live[over], : cur.shape[1]] = cur[over]
                 go = ~over
                 live, cur, rk, at, best = live[go], cur[go], rk[go], at[go], best[go]
-                row = np.arange(len(live))
-                if not len(live):
-                    break
+            if not len(live):
+                break
+            row = np.arange(len(live))
             # the left symbol becomes the merged one, what follows the right one moves down by one
             w = cur.shape[1]
             step = np.arange(w - 1)
@@ -126,12 +151,12 @@ class Merger:
             cur[row, at] = self.merged[best]
             cur = np.take_along_axis(cur, take, 1)
             rk = np.take_along_axis(rk, take, 1)
-            right = np.where(at + 1 < w - 1, cur[row, np.minimum(at + 1, w - 2)], -1)
-            rk[row, at] = self._ranks(cur[row, at], right)
-            left = at > 0
-            if left.any():
-                rk[row[left], at[left] - 1] = self._ranks(cur[row[left], at[left] - 1], cur[row[left], at[left]])
-        return out
+            new = cur[row, at]
+            rk[row, at] = self._ranks(new, np.where(at + 1 < w - 1, cur[row, np.minimum(at + 1, w - 2)], -1))
+            left = np.flatnonzero(at)
+            rk[left, at[left] - 1] = self._ranks(cur[left, at[left] - 1], new[left])
+        there = done >= 0
+        return done[there], there.sum(1)
 
     def _long(self, word: bytes) -> np.ndarray:
         """A long word, with a heap of its pairs by rank and place."""
@@ -166,20 +191,24 @@ class Merger:
         for width, lot in lots.items():
             for k in range(0, len(lot), 8192):
                 part = lot[k : k + 8192]
-                chosen = [words[i] for i in part]
-                ids = [self._long(w) for w in chosen] if not width else self._table(chosen, width)
-                for i, x in zip(part, ids):
-                    out[i] = x.astype("<u4").tobytes()
+                if not width:
+                    for i in part:
+                        out[i] = self._long(words[i]).astype("<u4").tobytes()
+                    continue
+                ids, sizes = self._table([words[i] for i in part], width)
+                raw, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(sizes)).tolist()
+                for i, a, b in zip(part, [0, *ends], ends):
+                    out[i] = raw[a:b]
         return out
 
     def split(self, text: str):
-        """(special id, None) and (None, text between) of a text."""
+        """(special token, None) and (None, text between) of a text."""
         if self.pattern is None or not any(s in text for s in self.special):
             yield None, text
             return
         for i, part in enumerate(self.pattern.split(text)):
             if i % 2:
-                yield self.special[part], None
+                yield part, None
             elif part:
                 yield None, part
 
@@ -249,13 +278,11 @@ class Lexicon:
 
     @classmethod
     def mapped(cls, raw: bytes) -> Lexicon:
-        """Map the arrays from a file in this worker's temp folder, which workers on one machine share."""
-        path = os.path.join(tempfile.gettempdir(), f"lexicon-{hashlib.blake2b(raw, digest_size=12).hexdigest()}")
-        if not os.path.exists(path):
-            with tempfile.NamedTemporaryFile(dir=tempfile.gettempdir(), delete=False) as f:
-                f.write(raw)
-            os.replace(f.name, path)
-        data = np.memmap(path, np.uint8, "r")
+        """Map the arrays from a file of this worker's, which has no name once it is mapped: nothing stays behind."""
+        with tempfile.NamedTemporaryFile() as f:
+            f.write(raw)
+            f.flush()
+            data = np.memmap(f.name, np.uint8, "r")
         at, arrays = 8 * len(cls.PARTS), {}
         for n, (name, d) in zip(data[:at].view(np.int64), cls.PARTS):
             size = int(n) * np.dtype(d).itemsize
@@ -303,7 +330,9 @@ class Encoder:
 
     def __init__(self, path: str, lexicon: bytes | None = None):
         self.merger, self.lexicon = Merger(path), Lexicon.mapped(lexicon) if lexicon else None
-        self.memo: dict[str, bytes] = {}
+        #: special tokens stand for themselves: no pretoken is written so
+        self.fixed = {s: np.array([i], "<u4").tobytes() for s, i in self.merger.special.items()}
+        self.memo: dict[str, bytes] = dict(self.fixed)
         self.words = bool(self.merger.suffix)
         if self.words:
             from tokenizers import Tokenizer
@@ -321,26 +350,19 @@ class Encoder:
             _KEPT[key] = cls(path, lexicon)
         return _KEPT[key]
 
-    def pretokens(self, text: str) -> list[str | int | bytes]:
-        """Words to look up; an int is a special token's id, bytes are finished ids."""
+    def pretokens(self, text: str) -> list[str] | None:
+        """Words to look up (a special token is its own word); None: the library's own normalizer is needed."""
         if self.words:
-            if "<|" in text or _COMMON.search(text):  # rare characters: the library's own normalizer
-                return [np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
-            return _WORD_FAST.findall(text.lower())
+            return None if "<|" in text or _COMMON.search(text) else _WORD_FAST.findall(text.lower())
         if "<|" not in text:
             return (_BYTE_ALL if _COMMON.search(text) else _BYTE_FAST).findall(text)
-        out: list[str | int | bytes] = []
+        out: list[str] = []
         for special, part in self.merger.split(text):
-            if special is not None:
-                out.append(np.array([special], "<u4").tobytes())
-            else:
-                out += (_BYTE_ALL if _COMMON.search(part) else _BYTE_FAST).findall(part)
+            out += [special] if special is not None else (_BYTE_ALL if _COMMON.search(part) else _BYTE_FAST).findall(part)
         return out
 
     def learn(self, words: set[str]) -> None:
         """Put words' ids into the memo."""
-        if len(self.memo) + len(words) > MEMO_WORDS:
-            self.memo.clear()
         new = list(words)
         raw = [w.encode() for w in new]
         if self.lexicon is not None:
@@ -357,21 +379,19 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids, as little-endian unsigned 32-bit integers."""
         lots = [self.pretokens(t) for t in texts]
-        asked = set(chain.from_iterable(lots))
-        need = {w for w in asked if w.__class__ is str and w not in self.memo}
+        asked = set(chain.from_iterable(x for x in lots if x))
+        need = asked.difference(self.memo)
         if need:
             if len(self.memo) + len(need) > MEMO_WORDS:
-                need = {w for w in asked if w.__class__ is str}
+                self.memo.clear()
+                self.memo |= self.fixed
+                need = asked.difference(self.memo)
             self.learn(need)
-        for w in asked:
-            if w.__class__ is bytes:
-                self.memo[w] = w
         get = self.memo.__getitem__
-        out = [b"".join(map(get, lot)) for lot in lots]
-        for w in asked:
-            if w.__class__ is bytes:
-                self.memo.pop(w, None)
-        return out
+        return [self._by_library(t) if x is None else b"".join(map(get, x)) for t, x in zip(texts, lots)]
+
+    def _by_library(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def decode(self, ids: bytes) -> bytes:
         """The text of ids, in UTF-8; bytes that are no UTF-8 become U+FFFD."""
@@ -399,7 +419,7 @@ def frequent_words(df: DataFrame, path: str, most: int = LEXICON_WORDS, local: i
         for batch in it:
             for _, _, texts in text_lots(batch):
                 for t in texts:
-                    counts.update(w for w in enc.pretokens(t) if w.__class__ is str and len(w) <= 64)
+                    counts.update(enc.pretokens(t) or ())
                 if len(counts) > 8 * local:
                     counts = Counter(dict(counts.most_common(4 * local)))
         top = counts.most_common(local)
@@ -407,7 +427,7 @@ def frequent_words(df: DataFrame, path: str, most: int = LEXICON_WORDS, local: i
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top[k : k + 10_000]], pa.string()), pa.array([c for _, c in top[k : k + 10_000]], pa.int64())], names=["word", "n"])
 
     counted = df.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    words = [r.word.encode() for r in counted.orderBy(F.desc("n"), "word").limit(most).select("word").collect()]
+    words = [r.word.encode() for r in counted.where(F.length("word") <= 64).orderBy(F.desc("n"), "word").limit(most).select("word").collect()]
     return dict(zip(words, Merger(path).merge(words)))
 
 
