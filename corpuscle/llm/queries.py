@@ -9,6 +9,7 @@ from .packing import op5_harmonic_packing
 from .quality import op8_quality_rules
 from .seekable import op10_seekable_token_files
 from .sharding import op2_two_pass_sharding
+from .substring import op9_substring_fm_index
 from .token_counts import op4_unigram_token_counts
 from .toxicity import op7_toxicity
 
@@ -23,6 +24,7 @@ QUERIES = {
         op6_bpe_transducer,
         op7_toxicity,
         op8_quality_rules,
+        op9_substring_fm_index,
         op10_seekable_token_files,
     )
 }
