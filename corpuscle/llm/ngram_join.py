@@ -6,14 +6,15 @@ global order of the tokens. Orders put frequent tokens last (by count, from boun
 by a hash of their own for each order. A pair is a candidate only if its prefixes meet under every order.
 
 1. Texts with equal sets are one class; only one text of a class goes on, so groups of copies cost one row each.
-2. Prefix tokens of the first order are dealt by token. The smallest class of each token and size band becomes a pivot;
+2. Prefix tokens of the first order are dealt by token, and with them every token up to a hash threshold. A class that has
+   too many of the latter alone cannot link and is left out (a text that shares but a passage). The smallest class of each token and size band becomes a pivot;
    what leaves the task is (pivot, class), once for all their common tokens, never the pairs of a token's list.
 3. The texts of a pivot's group meet in one task, or, where the group is large, in one task for each pair of its blocks.
    There the other orders are intersected and the survivors verified, with counts from matrix products for larger
    blocks; only a spanning forest of the links leaves.
 4. Connected components over those links.
 
-Every candidate pair is in the group of some pivot, so no link is lost and nothing is capped. Null and empty texts, and
+Groups that another one contains are left out. Every candidate pair is in the group of some pivot, so no link is lost and nothing is capped. Null and empty texts, and
 texts without words, have the empty set, link with nothing and are their own component. A null doc_id takes part as any
 other; a component's id is its smallest doc_id that is not null. Repeated rows are rows of one class.
 """
@@ -24,6 +25,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +35,8 @@ N, SHARE, OF = 5, 75, 100
 ORDERS = (0, 0x5851F42D4C957F2D, 0x14057B7EF767814F)
 #: summaries: most frequent tokens of a run of so many tokens; tokens that the orders put last
 CHUNK_TOKENS, LOCAL_TOKENS, LOCAL_LEAST, HOT_TOKENS, HOT_SHARE = 4_000_000, 8192, 4, 65_536, 2000
+#: tokens with hashes up to this are dealt for every set, and how often sets that have unshared ones are looked through
+THRESHOLD, PEELS = np.uint64(int(0.3 * 2**64)), 2
 #: classes and tokens of one block of a group; groups of up to so many are verified pair by pair
 BLOCK_CLASSES, BLOCK_TOKENS, PAIRWISE, COLUMNS = 512, 400_000, 16, 2048
 
@@ -76,6 +80,15 @@ def prefix(s: np.ndarray, hot: np.ndarray, rank: np.ndarray, order: int = 0) ->
     return out
 
 
+def sample(s: np.ndarray, hot: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, int]:
+    """A set's prefix under the first order together with all its tokens up to THRESHOLD but hot ones; how many those are."""
+    front = prefix(s, hot, rank)
+    low = s[: int(np.searchsorted(s, THRESHOLD, "right"))]
+    if len(hot) and len(low):
+        low = low[hot[np.minimum(np.searchsorted(hot, low), len(hot) - 1)] != low]
+    return np.concatenate((low, front[~np.isin(front, low)])), len(low)
+
+
 def band(n: np.ndarray) -> np.ndarray:
     """Size bands: sets that can link are in one band or in neighbouring ones."""
     return np.floor(np.log(n) / np.log(OF / SHARE) + 1e-9).astype(np.int64)
@@ -128,17 +141,45 @@ def _tokens(hot):
                         if len(seen) >= 1 << 20:
                             seen.clear()
                         seen.add(c)
-                        found.append((c, len(s), prefix(s, hot_tokens, rank)))
+                        dealt, low = sample(s, hot_tokens, rank)
+                        found.append((c, len(s) << 32 | low, dealt))
                 if found:
                     size = [len(p) for *_, p in found]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(signed(np.concatenate([p for *_, p in found]))), pa.array(np.repeat([c for c, *_ in found], size)), pa.array(np.repeat([n for _, n, _ in found], size).astype(np.int32))],
-                        names=["token", "cls", "n"],
-                    )
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate([p for *_, p in found]))), pa.array(np.repeat([c for c, *_ in found], size)), pa.array(np.repeat([n for _, n, _ in found], size))], names=["token", "cls", "nt"])
 
     return run
 
 
+def _shared(it):
+    """Of rows sorted by token and cls, those whose token another class has too, each once: (token, cls, n, low, sampled)."""
+    last, held, held_same = None, None, False  # the last row seen; the last one not given out, and if its token came before
+
+    def out(rows):
+        nt, token = rows.column("nt").to_numpy(), rows.column("token")
+        low = token.to_numpy().view(np.uint64) <= THRESHOLD
+        return pa.RecordBatch.from_arrays([token, rows.column("cls"), pa.array((nt >> 32).astype(np.int32)), pa.array(low), pa.array((nt & 0xFFFFFFFF).astype(np.int32))], names=["token", "cls", "n", "low", "sampled"])
+
+    for b in it:
+        if not b.num_rows:
+            continue
+        t, c = b.column("token").to_numpy(), b.column("cls").to_numpy()
+        first = np.concatenate(([last != (t[0], c[0])], (t[1:] != t[:-1]) | (c[1:] != c[:-1])))
+        last = (t[-1], c[-1])
+        b = b.filter(pa.array(first))
+        if held is not None:
+            b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+        if not b.num_rows:
+            continue
+        t = b.column("token").to_numpy()
+        same = np.concatenate(([held_same], t[1:] == t[:-1]))
+        held, held_same = b.slice(b.num_rows - 1), bool(same[-1])
+        keep = np.flatnonzero(same[:-1] | same[1:])
+        if len(keep):
+            yield out(b.take(pa.array(keep)))
+    if held is not None and held_same:
+        yield out(held)
+
+
 def _pivots(it):
     """(pivot, cls, n) of rows sorted by token, n and cls; each pair once for a batch."""
     token, here, low, below = None, None, None, None  # the last row's token and band, its band's pivot, the lower band's
@@ -253,10 +294,11 @@ def _links(sets: list[np.ndarray], side: np.ndarray | None, hot: np.ndarray, ran
 
 
 def _verify(hot):
-    """Rows (piv, lo, hi, side, cls, text), a group's together; yields links (a, b) between classes."""
+    """Rows (piv, lo, hi, side, cls, packed text), a group's together; yields links (a, b) between classes."""
 
     def run(it):
         hot_tokens, rank = hot.value
+        unpack = zstandard.ZstdDecompressor()
 
         def finish(classes, sets, sides, split):
             if len(classes) > 1:
@@ -265,7 +307,8 @@ def _verify(hot):
 
         key, classes, sets, sides, found = None, [], [], [], []
         for b in it:
-            buf, off = text_buffer(b.column("text"))
+            raw = [unpack.decompress(x) for x in b.column("packed").to_pylist()]
+            buf, off = np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in raw]))).astype(np.int64)
             own = [s for i, j in slices(off) for s in shingle_sets(buf, off[i : j + 1])]
             for k, side, c, s in zip(zip(*(b.column(x).to_pylist() for x in ("piv", "lo", "hi"))), b.column("side").to_pylist(), b.column("cls").to_pylist(), own):
                 if k != key:
@@ -286,6 +329,38 @@ def _verify(hot):
     return run
 
 
+def without_unshared(shared: DataFrame) -> DataFrame:
+    """Shared tokens without classes that cannot link: too many of their sampled tokens are in no other class.
+
+    A sampled token (not hot, hash up to THRESHOLD) is dealt for every class that has it. One that no other class has is
+    missing from each other set, and a set that links misses n - ceil(0.75 n) tokens at most. What is left is counted
+    anew among the classes that are left.
+    """
+    own = shared.groupBy("cls").agg(F.first("n").alias("n"), F.first("sampled").alias("sampled"), F.count_if("low").alias("met"))
+    may = own.where(f"sampled - met <= n - ceil({SHARE} * n / {OF})").select("cls")
+    left = shared.join(may, "cls", "left_semi")
+    more = left.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token")
+    return left.join(more, "token", "left_semi")
+
+
+def without_contained(pairs: DataFrame) -> DataFrame:
+    """Groups (piv, cls) without those whose members are all in the group of the smallest pivot that their own belongs to.
+
+    Such a group has no pair that the other lacks; as that pivot is smaller, groups lead to one that stays.
+    """
+    parent = pairs.groupBy("cls").agg(F.min("piv").alias("parent")).select(F.col("cls").alias("piv"), "parent").where("parent < piv")
+    own = pairs.join(parent, "piv", "left")
+    more = own.where("parent is not null").select("piv", "parent", "cls").join(pairs.select(F.col("piv").alias("parent"), "cls"), ["parent", "cls"], "left_anti")
+    stays = more.where("cls <> parent").select("piv").distinct()
+    return own.where("parent is null").select("piv", "cls", "n").union(own.where("parent is not null").join(stays, "piv", "left_semi").select("piv", "cls", "n"))
+
+
+def _pack(it):
+    z = zstandard.ZstdCompressor(level=3)
+    for b in it:
+        yield pa.RecordBatch.from_arrays([b.column("cls"), pa.array([z.compress(t.encode()) for t in b.column("text").to_pylist()], pa.binary())], names=["cls", "packed"])
+
+
 def classes_of(spark: SparkSession, df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, t, cls, n) of every row of ``df``, and (cls, component) with the smallest doc_id reachable by links."""
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
@@ -300,15 +375,20 @@ def classes_of(spark: SparkSession, df: DataFrame) -> tuple[DataFrame, DataFrame
     rank = (len(top) - np.arange(len(top)))[order]  # rarest first
     hot = spark.sparkContext.broadcast((token[order], rank))
 
-    dealt = docs.select("text").mapInArrow(_tokens(hot), "token long, cls long, n int").repartition(wide, "token").sortWithinPartitions("token", "n", "cls")
-    pairs = stored(spark, dealt.mapInArrow(_pivots, "piv long, cls long, n int").groupBy("piv", "cls").agg(F.first("n").alias("n")), "candidates")
+    dealt = docs.select("text").mapInArrow(_tokens(hot), "token long, cls long, nt long").repartition(wide, "token").sortWithinPartitions("token", "cls")
+    shared = stored(spark, dealt.mapInArrow(_shared, "token long, cls long, n int, low boolean, sampled int"), "shared")
+    for _ in range(PEELS):
+        shared = without_unshared(shared)
+    shared = shared.select("token", "cls", "n").repartition(wide, "token").sortWithinPartitions("token", "n", "cls")
+    pairs = stored(spark, shared.mapInArrow(_pivots, "piv long, cls long, n int").groupBy("piv", "cls").agg(F.first("n").alias("n")), "candidates")
+    pairs = stored(spark, without_contained(pairs), "groups")
 
     # one text of each class that has a candidate
     first = rows.where("n > 0").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "t")).alias("r"), F.min("doc_id").alias("low"))
     wanted = pairs.select("cls").union(pairs.select(F.col("piv").alias("cls"))).distinct()
     reps = first.join(wanted, "cls", "left_semi").select("cls", F.col("r.doc_id").alias("rid"), F.col("r.t").alias("rt"))
     texts = docs.join(reps, docs.t.eqNullSafe(reps.rt) & docs.doc_id.eqNullSafe(reps.rid)).select("cls", "text").dropDuplicates(["cls"])
-    texts = stored(spark, texts, "texts")
+    texts = stored(spark, texts.mapInArrow(_pack, "cls long, packed binary"), "texts")
 
     # a group's members, in blocks where it is large
     sizes = pairs.groupBy("piv").agg((F.greatest(F.ceil((F.count(F.lit(1)) + 1) / BLOCK_CLASSES), F.ceil(F.sum("n") / BLOCK_TOKENS))).cast("int").alias("nb"))
@@ -317,7 +397,7 @@ def classes_of(spark: SparkSession, df: DataFrame) -> tuple[DataFrame, DataFrame
     members = members.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     members = members.select("piv", F.least("side", "with").alias("lo"), F.greatest("side", "with").alias("hi"), "side", "cls")
     groups = members.join(texts, "cls").repartition(wide, "piv", "lo", "hi").sortWithinPartitions("piv", "lo", "hi", "cls")
-    links = groups.select("piv", "lo", "hi", "side", "cls", "text").mapInArrow(_verify(hot), "a long, b long")
+    links = groups.select("piv", "lo", "hi", "side", "cls", "packed").mapInArrow(_verify(hot), "a long, b long")
     roots = components(spark, links, "links")
     joined = first.select("cls", "low").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     low = joined.groupBy("root").agg(F.min("low").alias("component"))
