@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import audit, changes, deps, files, metrics, outline, search
-from .plans import pipe
+from .operators import audit, changes, context, deps, files, metrics, outline, search
+from .plans import output, pipe
 from .sources import adapters as A
+from .streaming import watch
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -453,3 +454,56 @@ def audit_precision(spark, d):
 @query(DOCS + "SELECT path, CAST(ceil(length(content) / 4.0) AS BIGINT) AS tokens FROM f")
 def token_estimate(spark, d):
     return metrics.estimated_tokens(_docs(spark, d))
+
+
+# --- context bundles and more of the pipe language
+
+
+@query()
+def brief_symbols(spark, d):
+    p = _keys(spark, d)
+    s = outline.symbols(p)
+    return context.bodies(p, context.ranked_symbols(s, "where does nation_7 call region"))
+
+
+@query()
+def brief_snippets(spark, d):
+    p = _keys(spark, d)
+    q = "where does nation_7 call region"
+    return context.snippets(p, context.ranked_symbols(outline.symbols(p), q), q)
+
+
+@query(EDGES + "SELECT 'high' AS confidence, count(*) AS symbols FROM names WHERE name = 'nation_7'")
+def brief_confidence(spark, d):
+    q = "where does nation_7 call region"
+    return context.confidence(context.ranked_symbols(outline.symbols(_keys(spark, d)), q), q)
+
+
+@query(EDGES + "SELECT path, name, kind, CAST(line_start AS INTEGER) AS line_start FROM (SELECT path, name, 'function' AS kind, line_start FROM names WHERE path LIKE 'src/nation/%.ts' UNION ALL SELECT src, '../region/' || split_part(split_part(dst, '/', 3), '.', 1), 'import', 1 FROM e WHERE src LIKE 'src/nation/%.ts')")
+def pipeline_outline(spark, d):
+    p = _keys(spark, d)
+    return pipe.run(p, "glob src/nation/*.ts | outline", symbols=outline.symbols(p)).select("path", "name", "kind", "line_start")
+
+
+@query(DOCS + "SELECT path, content FROM f WHERE path LIKE 'docs/%.md' ORDER BY path LIMIT 3")
+def pipeline_read(spark, d):
+    return pipe.run(_docs(spark, d), "glob docs/*.md | limit 3 | read")
+
+
+@query(DOCS + "SELECT path, line_num, line_text FROM l WHERE path = (SELECT min(path) FROM f WHERE path LIKE 'src/%') AND line_num = 1")
+def read_line(spark, d):
+    f = _docs(spark, d)
+    first = f.where(F.col("path").startswith("src/")).agg(F.min("path").alias("path"))
+    return A.line_table(f.join(F.broadcast(first), "path", "left_semi")).where("line_num = 1").select("path", "line_num", "line_text")
+
+
+@query(DOCS + "SELECT path, CASE WHEN length(t) > 120 THEN substr(t, 1, 117) || '...' ELSE t END AS cell FROM (SELECT path, trim(regexp_replace(line_text, '\\s+', ' ', 'g')) AS t FROM l WHERE path LIKE 'lib/%' AND line_num = 1)")
+def compact_cells(spark, d):
+    f = _docs(spark, d)
+    lines = A.line_table(f.where(F.col("path").startswith("lib/"))).where("line_num = 1")
+    return lines.select("path", output.compact(F.col("line_text")).alias("cell"))
+
+
+@query(_VERSIONS + "SELECT op, count(*) AS n, max(seq) AS seq FROM (SELECT path, arg_max(op, seq) AS op, max(seq) AS seq FROM v GROUP BY 1) GROUP BY 1")
+def latest_operations(spark, d):
+    return watch.latest_changes(A.event_versions(spark, d)).groupBy("op").agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("seq"))
