@@ -46,8 +46,15 @@ def terms(text: str) -> list[str]:
     return sorted({t, t.rsplit("/", 1)[-1]} if t and not is_local(t) else {t} if t else set())
 
 
-def candidates(importer: str, term: str) -> list[tuple[int, str]]:
-    """(score, path) that a term may mean, seen from a file."""
+# how a file meets a name, and what that scores: as it is, without its extension, as a folder's index file
+EXACT, WITHOUT_EXTENSION, INDEX = 1200, 1100, 1000
+
+
+def candidates(importer: str, term: str) -> list[tuple[int, str, bool]]:
+    """(score, name, whether only the very path counts) that a term may mean, seen from a file.
+
+    For the names that may lack an extension or an index file the score is what is added to EXACT and so on.
+    """
     folder = posixpath.dirname(importer)
     if is_local(term):
         base = posixpath.normpath(posixpath.join(folder, term)) if not term.startswith("/") else posixpath.normpath(term).lstrip("/")
@@ -57,14 +64,22 @@ def candidates(importer: str, term: str) -> list[tuple[int, str]]:
     out = []
     for base in bases:
         more = 50 * base.count("/") + min(len(base), 80)
-        out.append((1200 + more, base))
+        out.append((more, base, False))
         stem, ext = posixpath.splitext(base)
-        out += [(1190 - i + more, f"{stem}.{e}") for i, e in enumerate(RUNTIME_SOURCES.get(ext, ()))]
-        out += [(1100 + more, f"{base}.{e}") for e in EXTENSIONS]
-        out += [(1000 + more, f"{base}/{f}" if base else f) for f in INDEX_FILES]
+        out += [(1190 - i + more, f"{stem}.{e}", True) for i, e in enumerate(RUNTIME_SOURCES.get(ext, ()))]
     return out
 
 
+def file_names(files: DataFrame) -> DataFrame:
+    """(name, how, path): the names that an import may call a file by."""
+    path = F.col("path")
+    ext, last = F.substring_index(path, ".", -1), F.substring_index(path, "/", -1)
+    stem = F.when(path.contains(".") & ext.isin(*EXTENSIONS), F.regexp_replace(path, r"\.[^.]*$", ""))
+    folder = F.when(last.isin(*INDEX_FILES), F.regexp_replace(path, r"/?[^/]*$", ""))
+    names = F.array(*[F.struct(n.alias("name"), F.lit(how).alias("how")) for n, how in ((path, EXACT), (stem, WITHOUT_EXTENSION), (folder, INDEX))])
+    return files.select(F.explode(names).alias("n"), F.col("path").alias("dst")).select("n.name", "n.how", "dst").where("name is not null")
+
+
 def use_leaves(text: str) -> list[list[str]]:
     """The paths that a Rust use statement names, braces expanded, as lists of segments."""
     t = re.sub(r"^(?:pub(?:\([^)]*\))?\s+)?use\s+", "", text.strip()).rstrip(";").strip()
@@ -87,7 +102,7 @@ def use_leaves(text: str) -> list[list[str]]:
     return [[s for s in leaf if s and s not in ("*",)] for leaf in leaves]
 
 
-def use_candidates(importer: str, leaf: list[str]) -> list[tuple[int, str]]:
+def use_candidates(importer: str, leaf: list[str]) -> list[tuple[int, str, bool]]:
     """Files of a use path's modules, the longest first; a module is a file or a folder with mod.rs."""
     folder, name = posixpath.split(importer)
     # where the file's own submodules are
@@ -108,11 +123,11 @@ def use_candidates(importer: str, leaf: list[str]) -> list[tuple[int, str]]:
     out = []
     for n in range(len(rest), 0, -1):
         stem = "/".join([x for x in (base, *rest[:n]) if x])
-        out += [(5000 + 10 * n + 1, f"{stem}.rs"), (5000 + 10 * n, f"{stem}/mod.rs")]
+        out += [(5000 + 10 * n + 1, f"{stem}.rs", True), (5000 + 10 * n, f"{stem}/mod.rs", True)]
     return out
 
 
-_OUT = "path string, ord int, part int, import_text string, line int, local boolean, term string, score int, candidate string"
+_OUT = "path string, ord int, part int, import_text string, line int, local boolean, term string, score int, name string, exact boolean"
 
 
 def _expand(it):
@@ -121,24 +136,25 @@ def _expand(it):
         for path, language, k, text, line in zip(*(b.column(c).to_pylist() for c in ("path", "language", "ord", "import_text", "line"))):
             if language == "rust":
                 for part, leaf in enumerate(use_leaves(text)):
-                    rows += [(path, k, part, text, line, False, "/".join(leaf), s, c) for s, c in use_candidates(path, leaf)]
+                    rows += [(path, k, part, text, line, False, "/".join(leaf), *c) for c in use_candidates(path, leaf)]
                 continue
             found = terms(text)
             local = any(map(is_local, found))
             if language in SCRIPTS and not local:
                 continue
-            rows += [(path, k, 0, text, line, local, t, s, c) for t in found for s, c in candidates(path, t)]
+            rows += [(path, k, 0, text, line, local, t, *c) for t in found for c in candidates(path, t)]
         if rows:
-            kinds = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.bool_(), pa.string(), pa.int32(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, d) for c, d in zip(zip(*rows), kinds)], names=["path", "ord", "part", "import_text", "line", "local", "term", "score", "candidate"])
+            kinds = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.bool_(), pa.string(), pa.int32(), pa.string(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, d) for c, d in zip(zip(*rows), kinds)], names=["path", "ord", "part", "import_text", "line", "local", "term", "score", "name", "exact"])
 
 
 def resolve(files: DataFrame, imports: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(src, dst) edges without duplicates or loops, and local imports that mean no file: (path, import, line_start)."""
+    imports = _checkpoint(imports.sparkSession, imports)  # files are outlined once
     asked = imports.withColumn("language", X.language(F.col("path"))).mapInArrow(_expand, _OUT)
-    paths = files.select(F.col("path").alias("candidate"))
-    hits = asked.join(paths, "candidate").where("candidate <> path")
-    best = hits.groupBy("path", "ord", "part").agg(F.min_by("candidate", F.struct((-F.col("score")).alias("s"), "candidate")).alias("dst"))
+    hits = asked.join(file_names(files), "name").where(f"dst <> path and (not exact or how = {EXACT})")
+    score = F.when(F.col("exact"), F.col("score")).otherwise(F.col("score") + F.col("how"))
+    best = hits.groupBy("path", "ord", "part").agg(F.min_by("dst", F.struct((-score).alias("s"), "dst")).alias("dst"))
     # what has no exact candidate: by suffix of a path or of its stem, unless the import is local
     rest = asked.select("path", "ord", "part", "term", "local").distinct().join(best, ["path", "ord", "part"], "left_anti")
     stem = F.regexp_replace("path", r"\.[^./]*$", "")
@@ -173,6 +189,7 @@ def transitive(spark: SparkSession, edges: DataFrame, path: str, reverse: bool =
     a, b = ("dst", "src") if reverse else ("src", "dst")
     e = edges.select(F.col(a).alias("path"), F.col(b).alias("next")).distinct()
     keep = stored or (lambda df: _checkpoint(spark, df))
+    e = keep(e)
     seen = front = spark.createDataFrame([(path, 0)], "path string, depth int")
     depth = 0
     while True:

@@ -318,6 +318,11 @@ def symbols(files: DataFrame) -> DataFrame:
     return outlines(files).select("path", F.explode("symbols").alias("s")).select("path", "s.*")
 
 
+def symbols_naming(files: DataFrame, name: str) -> DataFrame:
+    """Symbols of the files whose text has a name: the filter runs in the scan, before any file is outlined."""
+    return symbols(files.where(F.lower("content").contains(name.lower())))
+
+
 def imports(files: DataFrame) -> DataFrame:
     return outlines(files).select("path", F.explode("imports").alias("i")).select("path", "i.*")
 

@@ -228,13 +228,13 @@ g AS (SELECT path, 1 AS line_num, 'import { nation_7 } from "../nation/k7";' AS
 @query(EDGES + _USES + ", top AS (SELECT * FROM g ORDER BY path, line_num LIMIT 50) SELECT path, CAST(line_num AS INTEGER) AS line_num, line_text, scope, CASE WHEN scope IS NOT NULL THEN 'function' END AS scope_kind FROM top")
 def search_scoped(spark, d):
     p = _keys(spark, d)
-    return search.text_search(p, outline.symbols(p), "nation_7", 50, glob="src/*.ts", compact=True)
+    return search.text_search(p, outline.symbols_naming(p, "nation_7"), "nation_7", 50, glob="src/*.ts", compact=True)
 
 
 @query(EDGES + _USES + "SELECT path, CAST(line_num AS INTEGER) AS line_num, line_text FROM g WHERE path <> 'src/nation/k7.ts' ORDER BY path, line_num LIMIT 30")
 def callers_anti(spark, d):
     p = _keys(spark, d)
-    return search.callers(p, outline.symbols(p), "nation_7")
+    return search.callers(p, outline.symbols_naming(p, "nation_7"), "nation_7")
 
 
 # --- symbols
@@ -242,7 +242,7 @@ def callers_anti(spark, d):
 
 @query("SELECT 'src/nation/k7.ts' AS path, 'nation_7' AS name, 'function' AS kind, CAST(2 AS INTEGER) AS line_start, CAST(4 AS INTEGER) AS line_end, '(row)' AS detail")
 def symbol_defs(spark, d):
-    return outline.definitions(outline.symbols(_keys(spark, d)), "nation_7")
+    return outline.definitions(outline.symbols_naming(_keys(spark, d), "nation_7"), "nation_7")
 
 
 @query(

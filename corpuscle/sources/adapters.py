@@ -11,12 +11,18 @@ FOLDERS = ("packages/core/src/", "apps/web/src/", "src/", "packages/core/", "exa
 EXTENSIONS = (".rs", ".ts", ".py", ".go", ".md", ".sql", ".sh", ".css", ".json", ".txt")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores where the input has fewer splits than cores; larger inputs stay as they are split."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path, content, modified_ms of every document."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (F.col("doc_id") % n + 1).cast("int"))
     path = F.concat(pick(FOLDERS, len(FOLDERS)), "source", F.lit("/"), "lang", F.lit("/doc_"), F.col("doc_id").cast("string"), pick(EXTENSIONS, len(EXTENSIONS)))
-    return d.select("doc_id", path.alias("path"), F.col("text").alias("content"), (F.lit(1700000000000) + 1000 * F.col("doc_id")).alias("modified_ms"))
+    return spread(d.select("doc_id", "text", "source", "lang")).select("doc_id", path.alias("path"), F.col("text").alias("content"), (F.lit(1700000000000) + 1000 * F.col("doc_id")).alias("modified_ms"))
 
 
 # (table, folder, key, name, foreign keys as (column, table's folder))
@@ -45,7 +51,7 @@ def key_project(spark: SparkSession, sf_dir: str, cyclic: bool = False) -> DataF
         content = F.concat(*imports, F.lit("export function "), name, F.lit("(row) {\n"), *calls, F.lit("}\n"))
         rows = d.select(F.concat(F.lit(f"src/{table}/k"), F.col(key).cast("string"), F.lit(".ts")).alias("path"), content.alias("content"))
         out = rows if out is None else out.unionByName(rows)
-    return out
+    return spread(out) if out.rdd.getNumPartitions() < 2 * len(FOREIGN_KEYS) else out
 
 
 def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
