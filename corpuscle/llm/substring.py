@@ -5,7 +5,8 @@ leftmost of equals), so equal windows belong to equal anchors wherever they stan
 segment. Segments are dealt by anchor:
 
 * an anchor seen once has nothing repeated;
-* a segment whose words all occur again (equal hash of all its words) is repeated as a whole;
+* a segment whose words all occur again (equal hash of all its words) is repeated as a whole; equal segments that one task
+  finds are known to be and only one of them is dealt by its anchor, so groups of copies do not meet in one task;
 * the other segments of anchors that several different segments have go to shards by anchor. A shard's different segments
   make one FM-index (suffix order of the words, their BWT in a wavelet matrix of packed bits), and each segment that is
   there once is streamed against it: backward search gives how far left of a word the text still occurs twice, and spans of
@@ -194,21 +195,31 @@ def segments(w: Words, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarr
     return doc[a], a - w.first[doc[a]], size, grams[o], whole
 
 
-_SEGMENT = "anchor long, seg long, doc_id long, t long, start int, windows int"
+#: known: 0 as found; 1 this task has equal segments too; 2 one of those, that need not be dealt by its anchor
+_SEGMENT = "anchor long, seg long, doc_id long, t long, start int, windows int, known int"
 
 
 def _segments(it):
     for b in it:
         buf, off = text_buffer(b.column("text"))
         ids, t = b.column("doc_id"), b.column("t")
+        parts = []
         for i, j in slices(off):
-            doc, start, size, anchor, whole = segments(Words(buf, off[i : j + 1]))
+            doc, *rest = segments(Words(buf, off[i : j + 1]))
             if len(doc):
-                take = pa.array(doc + i)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(anchor)), pa.array(signed(whole)), ids.take(take), t.take(take), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32))],
-                    names=["anchor", "seg", "doc_id", "t", "start", "windows"],
-                )
+                parts.append((doc + i, *rest))
+        if not parts:
+            continue
+        doc, start, size, anchor, whole = (np.concatenate(x) for x in zip(*parts))
+        with np.errstate(over="ignore"):
+            _, first, which, times = np.unique(mix(anchor + mix(whole)), return_index=True, return_inverse=True, return_counts=True)
+        known = np.where(times[which] > 1, 2, 0).astype(np.int32)
+        known[first[times > 1]] = 1
+        take = pa.array(doc)
+        columns = [pa.array(signed(anchor)), pa.array(signed(whole)), ids.take(take), t.take(take), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(known)]
+        whole_batch = pa.RecordBatch.from_arrays(columns, names=["anchor", "seg", "doc_id", "t", "start", "windows", "known"])
+        for k in range(0, len(doc), 50_000):
+            yield whole_batch.slice(k, 50_000)
 
 
 _SORTED_OUT = "kind int, anchor long, single boolean, doc_id long, t long, start int, windows int"
@@ -257,8 +268,8 @@ class _Sorter:
         if not whole:
             return
         key, same = key[:whole], same[:whole]
-        again = same | after
         rows = rows.slice(0, whole)
+        again = same | after | (rows.column("known").to_numpy() == 1)
         if again.any():
             yield self._out(rows.filter(pa.array(again)), REPEATED, False)
         firsts = np.flatnonzero(~same)
@@ -285,6 +296,10 @@ def _sort_segments(most):
     def run(it):
         s = _Sorter(most)
         for b in it:
+            passing = b.column("known").to_numpy() == 2
+            if passing.any():
+                yield s._out(b.filter(pa.array(passing)), REPEATED, False)
+                b = b.filter(pa.array(~passing))
             if b.num_rows:
                 yield from s.feed(b)
         if s.held is not None:
@@ -384,7 +399,8 @@ def repeated_spans(spark: SparkSession, df: DataFrame, anchor_segments: int = AN
     """(doc_id, t, start, windows): runs of repeated windows, by the word at which the first starts; t: xxhash64(text)."""
     docs = keyed(df)
     wide = parallelism(spark, docs)
-    dealt = docs.mapInArrow(_segments, _SEGMENT).repartition(wide, "anchor").sortWithinPartitions("anchor", "seg", "doc_id", "t", "start")
+    key = F.when(F.col("known") == 2, F.xxhash64("t", "start", "doc_id")).otherwise(F.col("anchor"))
+    dealt = docs.mapInArrow(_segments, _SEGMENT).repartition(wide, key).sortWithinPartitions("anchor", "seg", "doc_id", "t", "start")
     found = stored(spark, dealt.mapInArrow(_sort_segments(anchor_segments), _SORTED_OUT), "segments")
     asked = found.where(f"kind <> {REPEATED}")
     total, n = asked.agg(F.sum(F.when(F.col("kind") == COMPARE, F.col("windows") + WINDOW - 1)), F.count(F.lit(1))).first()
