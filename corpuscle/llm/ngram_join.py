@@ -343,16 +343,17 @@ def without_unshared(shared: DataFrame) -> DataFrame:
     return left.join(more, "token", "left_semi")
 
 
-def without_contained(pairs: DataFrame) -> DataFrame:
+def without_contained(spark: SparkSession, pairs: DataFrame) -> DataFrame:
     """Groups (piv, cls) without those whose members are all in the group of the smallest pivot that their own belongs to.
 
-    Such a group has no pair that the other lacks; as that pivot is smaller, groups lead to one that stays.
+    Such a group has no pair that the other lacks; as that pivot is smaller, groups lead to one that stays. What is known
+    of a pivot is a written table, so that both sides of its join with the pairs are dealt anew and a large group is split.
     """
-    parent = pairs.groupBy("cls").agg(F.min("piv").alias("parent")).select(F.col("cls").alias("piv"), "parent").where("parent < piv")
-    own = pairs.join(parent, "piv", "left")
-    more = own.where("parent is not null").select("piv", "parent", "cls").join(pairs.select(F.col("piv").alias("parent"), "cls"), ["parent", "cls"], "left_anti")
+    parent = stored(spark, pairs.groupBy("cls").agg(F.min("piv").alias("parent")).select(F.col("cls").alias("piv"), "parent").where("parent < piv"), "parents")
+    more = pairs.join(parent, "piv").join(pairs.select(F.col("piv").alias("parent"), "cls"), ["parent", "cls"], "left_anti")
     stays = more.where("cls <> parent").select("piv").distinct()
-    return own.where("parent is null").select("piv", "cls", "n").union(own.where("parent is not null").join(stays, "piv", "left_semi").select("piv", "cls", "n"))
+    gone = stored(spark, parent.select("piv").join(stays, "piv", "left_anti"), "contained")
+    return pairs.join(gone, "piv", "left_anti")
 
 
 def _pack(it):
@@ -381,7 +382,7 @@ def classes_of(spark: SparkSession, df: DataFrame) -> tuple[DataFrame, DataFrame
         shared = without_unshared(shared)
     shared = shared.select("token", "cls", "n").repartition(wide, "token").sortWithinPartitions("token", "n", "cls")
     pairs = stored(spark, shared.mapInArrow(_pivots, "piv long, cls long, n int").groupBy("piv", "cls").agg(F.first("n").alias("n")), "candidates")
-    pairs = stored(spark, without_contained(pairs), "groups")
+    pairs = stored(spark, without_contained(spark, pairs), "groups")
 
     # one text of each class that has a candidate
     first = rows.where("n > 0").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "t")).alias("r"), F.min("doc_id").alias("low"))
@@ -392,6 +393,7 @@ def classes_of(spark: SparkSession, df: DataFrame) -> tuple[DataFrame, DataFrame
 
     # a group's members, in blocks where it is large
     sizes = pairs.groupBy("piv").agg((F.greatest(F.ceil((F.count(F.lit(1)) + 1) / BLOCK_CLASSES), F.ceil(F.sum("n") / BLOCK_TOKENS))).cast("int").alias("nb"))
+    sizes = stored(spark, sizes, "sizes")
     members = pairs.select("piv", "cls").union(pairs.select("piv", F.col("piv").alias("cls")).distinct()).join(sizes, "piv")
     members = members.withColumn("side", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int"))
     members = members.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
