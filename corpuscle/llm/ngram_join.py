@@ -9,9 +9,11 @@ by a hash of their own for each order. A pair is a candidate only if its prefixe
 2. Prefix tokens of the first order are dealt by token, and with them every token up to a hash threshold. A class that has
    too many of the latter alone cannot link and is left out (a text that shares but a passage). The smallest class of each token and size band becomes a pivot;
    what leaves the task is (pivot, class), once for all their common tokens, never the pairs of a token's list.
-3. The texts of a pivot's group meet in one task, or, where the group is large, in one task for each pair of its blocks.
-   There the other orders are intersected and the survivors verified, with counts from matrix products for larger
-   blocks; only a spanning forest of the links leaves.
+3. The texts of a pivot's group meet in one task, or, where the group is large, in blocks with the pivot in each. There the
+   other orders are intersected and the survivors verified, with counts from matrix products for larger blocks; only a
+   spanning forest of the links leaves. Texts that their block does not tie to the pivot are open: blocks of open texts
+   then meet all blocks of the group. Texts that are tied are one component already, so a large group of near copies
+   costs one pass over its texts, not its pairs.
 4. Connected components over those links.
 
 Groups that another one contains are left out. Every candidate pair is in the group of some pivot, so no link is lost and nothing is capped. Null and empty texts, and
@@ -22,6 +24,7 @@ other; a component's id is its smallest doc_id that is not null. Repeated rows a
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -293,38 +296,65 @@ def _links(sets: list[np.ndarray], side: np.ndarray | None, hot: np.ndarray, ran
     return out
 
 
-def _verify(hot):
-    """Rows (piv, lo, hi, side, cls, packed text), a group's together; yields links (a, b) between classes."""
+def _untied(m: int, links: list[tuple[int, int]], center: int) -> list[int]:
+    """Those of m texts that no chain of links ties to the center."""
+    near = defaultdict(list)
+    for i, j in links:
+        near[i].append(j)
+        near[j].append(i)
+    tied, todo = {center}, [center]
+    while todo:
+        for j in near[todo.pop()]:
+            if j not in tied:
+                tied.add(j)
+                todo.append(j)
+    return [i for i in range(m) if i not in tied]
+
+
+def _verify(hot, across: bool):
+    """Rows (piv, x, y, side, cls, packed text), a block's together; yields links (kind 0: a, b) between classes.
+
+    Without ``across`` a side of 1 says that the group has more blocks: classes not tied to the pivot follow (kind 1: piv,
+    cls, size). With it, only pairs of both sides count.
+    """
 
     def run(it):
         hot_tokens, rank = hot.value
         unpack = zstandard.ZstdDecompressor()
 
-        def finish(classes, sets, sides, split):
+        def finish(piv, classes, sets, sides):
             if len(classes) > 1:
-                for i, j in _links(sets, np.array(sides) if split else None, hot_tokens, rank):
-                    yield classes[i], classes[j]
+                links = _links(sets, np.array(sides) if across else None, hot_tokens, rank)
+                for i, j in links:
+                    yield 0, classes[i], classes[j], 0
+                if not across and sides[0]:
+                    for i in _untied(len(classes), links, classes.index(piv)):
+                        yield 1, piv, classes[i], len(sets[i])
+
+        def batch(found):
+            kind, a, b, n = zip(*found)
+            return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], names=["kind", "a", "b", "n"])
 
         key, classes, sets, sides, found = None, [], [], [], []
         for b in it:
             raw = [unpack.decompress(x) for x in b.column("packed").to_pylist()]
             buf, off = np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in raw]))).astype(np.int64)
             own = [s for i, j in slices(off) for s in shingle_sets(buf, off[i : j + 1])]
-            for k, side, c, s in zip(zip(*(b.column(x).to_pylist() for x in ("piv", "lo", "hi"))), b.column("side").to_pylist(), b.column("cls").to_pylist(), own):
+            for k, side, c, s in zip(zip(*(b.column(x).to_pylist() for x in ("piv", "x", "y"))), b.column("side").to_pylist(), b.column("cls").to_pylist(), own):
                 if k != key:
                     if key:
-                        found += finish(classes, sets, sides, key[1] != key[2])
+                        found += finish(key[0], classes, sets, sides)
                     key, classes, sets, sides = k, [], [], []
                 classes.append(c)
                 sets.append(s)
                 sides.append(side)
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found]), pa.array([b for _, b in found])], names=["a", "b"])
+                yield batch(found)
                 found = []
         if key:
-            found = [*finish(classes, sets, sides, key[1] != key[2])]
+            found = [*finish(key[0], classes, sets, sides)]
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found]), pa.array([b for _, b in found])], names=["a", "b"])
+                yield batch(found)
 
     return run
 
@@ -391,18 +421,29 @@ def classes_of(spark: SparkSession, df: DataFrame) -> tuple[DataFrame, DataFrame
     texts = docs.join(reps, docs.t.eqNullSafe(reps.rt) & docs.doc_id.eqNullSafe(reps.rid)).select("cls", "text").dropDuplicates(["cls"])
     texts = stored(spark, texts.mapInArrow(_pack, "cls long, packed binary"), "texts")
 
-    # a group's members, in blocks where it is large
+    # a group's members, in blocks where it is large, each with the pivot
     sizes = pairs.groupBy("piv").agg((F.greatest(F.ceil((F.count(F.lit(1)) + 1) / BLOCK_CLASSES), F.ceil(F.sum("n") / BLOCK_TOKENS))).cast("int").alias("nb"))
     sizes = stored(spark, sizes, "sizes")
-    members = pairs.select("piv", "cls").union(pairs.select("piv", F.col("piv").alias("cls")).distinct()).join(sizes, "piv")
-    members = members.withColumn("side", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int"))
-    members = members.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    members = members.select("piv", F.least("side", "with").alias("lo"), F.greatest("side", "with").alias("hi"), "side", "cls")
-    groups = members.join(texts, "cls").repartition(wide, "piv", "lo", "hi").sortWithinPartitions("piv", "lo", "hi", "cls")
-    links = groups.select("piv", "lo", "hi", "side", "cls", "packed").mapInArrow(_verify(hot), "a long, b long")
+    members = pairs.select("piv", "cls").join(sizes, "piv").select("piv", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int").alias("block"), "cls", (F.col("nb") > 1).cast("int").alias("side"))
+    center = sizes.select("piv", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("block"), F.col("piv").alias("cls"), (F.col("nb") > 1).cast("int").alias("side"))
+    verified = "kind int, a long, b long, n long"
+
+    def met(rows: DataFrame, across: bool) -> DataFrame:
+        held = rows.select("piv", "x", "y", "side", "cls").join(texts, "cls").repartition(wide, "piv", "x", "y").sortWithinPartitions("piv", "x", "y", "cls", "side")
+        return held.mapInArrow(_verify(hot, across), verified)
+
+    star = stored(spark, met(members.union(center).withColumn("x", F.col("block")).withColumn("y", F.lit(0)), False), "stars")
+
+    # open classes of large groups: their blocks (x) meet all blocks of the group (y)
+    opened = star.where("kind = 1").select(F.col("a").alias("piv"), F.col("b").alias("cls"), "n")
+    blocks = opened.groupBy("piv").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("ko"))
+    blocks = stored(spark, blocks.join(sizes, "piv"), "blocks")
+    left = opened.join(blocks, "piv").select("piv", F.pmod(F.xxhash64("cls"), F.col("ko")).cast("int").alias("x"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("y"), F.lit(0).alias("side"), "cls")
+    right = members.select("piv", "block", "cls").join(blocks, "piv").select("piv", F.explode(F.sequence(F.lit(0), F.col("ko") - 1)).alias("x"), F.col("block").alias("y"), F.lit(1).alias("side"), "cls")
+    links = star.union(met(left.union(right), True)).where("kind = 0").select("a", "b")
     roots = components(spark, links, "links")
     joined = first.select("cls", "low").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    low = joined.groupBy("root").agg(F.min("low").alias("component"))
+    low = stored(spark, joined.groupBy("root").agg(F.min("low").alias("component")), "lows")
     return rows, joined.join(low, "root").select("cls", "component")
 
 

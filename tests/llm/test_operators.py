@@ -140,6 +140,25 @@ def test_ngram_join(spark, odd, monkeypatch, pairwise, block):
     assert sorted(got, key=str) == sorted(brute_components(rows), key=str)
 
 
+def test_ngram_join_large_group(spark, monkeypatch):
+    """A group of many blocks: copies near one text, chains that drift from it, and texts that share a passage."""
+    monkeypatch.setattr(ngram_join, "BLOCK_CLASSES", 4)
+    monkeypatch.setattr(ngram_join, "PEELS", 0)
+    base = [f"w{i}" for i in range(60)]
+    rows, w = [], list(base)
+    for k in range(20):
+        near = list(base)
+        near[2 * k + 3] = f"near{k}"
+        w[59 - k] = f"drift{k}"
+        rows += [(k, " ".join(near)), (100 + k, " ".join(w)), (200 + k, " ".join(base[:30] + [f"own{k}_{i}" for i in range(30)]))]
+    assert ngram_join._untied(5, [(0, 1), (1, 3)], 3) == [2, 4]
+    seen, real = [], ngram_join._verify
+    monkeypatch.setattr(ngram_join, "_verify", lambda hot, across: seen.append(across) or real(hot, across))
+    got = ngram_join.jaccard_components(spark, table(spark, rows)).select("doc_id", "n_shingles", "component_id")
+    assert sorted(map(tuple, got.collect())) == sorted(brute_components(rows))
+    assert seen == [False, True]
+
+
 def test_ngram_join_links_of_a_block():
     rnd = np.random.default_rng(3)
     none = np.zeros(0, np.uint64)
