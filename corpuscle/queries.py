@@ -123,8 +123,7 @@ def status_counts(spark, d):
 
 @query(DOCS + "SELECT path, language, line_num, line_text FROM l WHERE path LIKE 'lib/%'")
 def lines_explode(spark, d):
-    f = _docs(spark, d)
-    return A.line_table(f.where(F.col("path").startswith("lib/")))
+    return A.line_table(_docs(spark, d))
 
 
 @query(DOCS + "SELECT path, coalesce((SELECT string_agg(line_text, chr(10) ORDER BY line_num) FROM l WHERE l.path = f.path AND line_num BETWEEN 2 AND 4), '') AS text FROM f")

@@ -212,3 +212,9 @@ def test_entry(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() > 0
+
+
+def test_lines_of_all_documents(spark, duck):
+    rows = [tuple(r) for r in Q.QUERIES["lines_explode"](spark, SF).collect()]
+    assert {r[0] for r in rows} == {r.path for r in A.document_files(spark, SF).collect()}
+    assert sorted(rows) == sorted(duck.sql(Q.DOCS + "SELECT path, language, line_num, line_text FROM l").fetchall())
