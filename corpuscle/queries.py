@@ -498,9 +498,7 @@ def read_line(spark, d):
 
 @query(DOCS + "SELECT path, CASE WHEN length(t) > 120 THEN substr(t, 1, 117) || '...' ELSE t END AS cell FROM (SELECT path, trim(regexp_replace(line_text, '\\s+', ' ', 'g')) AS t FROM l WHERE path LIKE 'lib/%' AND line_num = 1)")
 def compact_cells(spark, d):
-    f = _docs(spark, d)
-    lines = A.line_table(f.where(F.col("path").startswith("lib/"))).where("line_num = 1")
-    return lines.select("path", output.compact(F.col("line_text")).alias("cell"))
+    return A.line_table(_docs(spark, d)).select("path", output.compact(F.col("line_text")).alias("cell"))
 
 
 @query(_VERSIONS + "SELECT op, count(*) AS n, max(seq) AS seq FROM (SELECT path, arg_max(op, seq) AS op, max(seq) AS seq FROM v GROUP BY 1) GROUP BY 1")

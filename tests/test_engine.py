@@ -218,3 +218,9 @@ def test_lines_of_all_documents(spark, duck):
     rows = [tuple(r) for r in Q.QUERIES["lines_explode"](spark, SF).collect()]
     assert {r[0] for r in rows} == {r.path for r in A.document_files(spark, SF).collect()}
     assert sorted(rows) == sorted(duck.sql(Q.DOCS + "SELECT path, language, line_num, line_text FROM l").fetchall())
+
+
+def test_cells_of_all_lines(spark, duck):
+    got = sorted(tuple(r) for r in Q.QUERIES["compact_cells"](spark, SF).collect())
+    cut = "SELECT path, CASE WHEN length(t) > 120 THEN substr(t, 1, 117) || '...' ELSE t END AS cell FROM (SELECT path, trim(regexp_replace(line_text, '\\s+', ' ', 'g')) AS t FROM l)"
+    assert got == sorted(duck.sql(Q.DOCS + cut).fetchall())
