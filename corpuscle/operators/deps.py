@@ -155,7 +155,7 @@ def resolve(files: DataFrame, imports: DataFrame) -> tuple[DataFrame, DataFrame]
     hits = asked.join(file_names(files), "name").where(f"dst <> path and (not exact or how = {EXACT})")
     score = F.when(F.col("exact"), F.col("score")).otherwise(F.col("score") + F.col("how"))
     best = hits.groupBy("path", "ord", "part").agg(F.min_by("dst", F.struct((-score).alias("s"), "dst")).alias("dst"))
-    # what has no exact candidate: by suffix of a path or of its stem, unless the import is local
+    # what has no exact candidate: by suffix of a path, of its stem or of an index file's folder, unless the import is local
     rest = asked.select("path", "ord", "part", "term", "local").distinct().join(best, ["path", "ord", "part"], "left_anti")
     stem = F.regexp_replace("path", r"\.[^./]*$", "")
 
@@ -166,8 +166,13 @@ def resolve(files: DataFrame, imports: DataFrame) -> tuple[DataFrame, DataFrame]
     def scored(whole, equal: int, ends: int):
         return F.transform(tails(whole), lambda t: F.struct(t.alias("term"), F.when(t == whole, equal).otherwise(ends).alias("score")))
 
-    keys = files.select(F.col("path").alias("dst"), F.explode(F.concat(scored(F.col("path"), 1000, 800), scored(stem, 950, 750))).alias("k")).select("dst", "k.term", "k.score")
-    by_tail = rest.where("not local").join(keys, "term").where("dst <> path").groupBy("path", "ord", "part").agg(F.min_by("dst", F.struct((-F.col("score")).alias("s"), "dst")).alias("dst"))
+    # an index file also goes by its folder
+    folder, is_index = F.regexp_replace("path", r"/?[^/]*$", ""), F.substring_index("path", "/", -1).isin(*INDEX_FILES)
+    index = F.filter(scored(folder, 650, 650), lambda k: is_index & (k["term"] != ""))
+    keys = files.select(F.col("path").alias("dst"), F.explode(F.concat(scored(F.col("path"), 1000, 800), scored(stem, 950, 750), index)).alias("k")).select("dst", "k.term", "k.score")
+    # longer terms say more
+    score = F.col("score") + 50 * (F.size(F.split("term", "/")) - 1) + F.least(F.octet_length("term"), F.lit(80))
+    by_tail = rest.where("not local").join(keys, "term").where("dst <> path").groupBy("path", "ord", "part").agg(F.min_by("dst", F.struct((-score).alias("s"), "dst")).alias("dst"))
     edges = best.union(by_tail).select(F.col("path").alias("src"), "dst").distinct()
     lost = asked.where("local").select("path", "ord", "import_text", "line").distinct().join(best.select("path", "ord"), ["path", "ord"], "left_anti").where(X.language(F.col("path")) != "rust")
     return edges, lost.select("path", F.col("import_text").alias("import"), F.col("line").alias("line_start")).distinct()

@@ -224,3 +224,19 @@ def test_cells_of_all_lines(spark, duck):
     got = sorted(tuple(r) for r in Q.QUERIES["compact_cells"](spark, SF).collect())
     cut = "SELECT path, CASE WHEN length(t) > 120 THEN substr(t, 1, 117) || '...' ELSE t END AS cell FROM (SELECT path, trim(regexp_replace(line_text, '\\s+', ' ', 'g')) AS t FROM l)"
     assert got == sorted(duck.sql(Q.DOCS + cut).fetchall())
+
+
+def test_imports_by_suffix(spark):
+    sources = {
+        "app/main.py": "import pkg.foo\nimport pkg.utils\n",
+        "app/net.rs": "use helper::net;\n",
+        "lib/pkg/foo/__init__.py": "",
+        "lib/helper/net/mod.rs": "",
+        "a/utils.py": "",
+        "z/pkg/utils.py": "",
+        "mod.rs": "",
+    }
+    f = spark.createDataFrame(list(sources.items()), "path string, content string")
+    edges = {tuple(r) for r in deps.resolve(f, outline.imports(f))[0].collect()}
+    # a folder by its index file; the longer term before the lesser path
+    assert edges == {("app/main.py", "lib/pkg/foo/__init__.py"), ("app/main.py", "z/pkg/utils.py"), ("app/net.rs", "lib/helper/net/mod.rs")}
