@@ -152,12 +152,25 @@ def path_fuzzy(spark, d):
 # --- words and search
 
 
-@query(DOCS + "SELECT word, count(*) AS n, count(DISTINCT path) AS files FROM w GROUP BY 1 ORDER BY n DESC, word LIMIT 50")
-def word_postings_topk(spark, d):
+def _word_counts(spark, d):
     p = search.word_postings(_docs(spark, d))
     # counted per file first, so that no distinct count needs every posting again
     per_file = p.groupBy("word", "path").agg(F.count(F.lit(1)).alias("k"))
-    return per_file.groupBy("word").agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("files")).orderBy(F.desc("n"), "word").limit(50)
+    return per_file.groupBy("word").agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("files"))
+
+
+def _trigram_counts(spark, d):
+    return search.trigram_postings(_docs(spark, d)).groupBy("tri").agg(F.count(F.lit(1)).alias("files"))
+
+
+@query(DOCS + "SELECT word, count(*) AS n, count(DISTINCT path) AS files FROM w GROUP BY 1 ORDER BY n DESC, word LIMIT 50")
+def word_postings_topk(spark, d):
+    return _word_counts(spark, d).orderBy(F.desc("n"), "word").limit(50)
+
+
+@query(DOCS + "SELECT word, count(*) AS n, count(DISTINCT path) AS files FROM w GROUP BY 1")
+def word_postings_counts(spark, d):
+    return _word_counts(spark, d)
 
 
 @query(DOCS + "SELECT path, line_num FROM w WHERE word = 'the'")
@@ -197,7 +210,12 @@ def trigram_candidates(spark, d):
 
 @query(DOCS + ", t AS (SELECT DISTINCT substr(lower(content), i, 3) AS tri, path FROM (SELECT path, content, unnest(range(1, length(content) - 1)) AS i FROM f)) SELECT tri, count(*) AS files FROM t WHERE regexp_matches(tri, '^[ -~]{3}$') GROUP BY 1 ORDER BY files DESC, tri LIMIT 100")
 def trigram_postings_topk(spark, d):
-    return search.trigram_postings(_docs(spark, d)).groupBy("tri").agg(F.count(F.lit(1)).alias("files")).orderBy(F.desc("files"), "tri").limit(100)
+    return _trigram_counts(spark, d).orderBy(F.desc("files"), "tri").limit(100)
+
+
+@query(DOCS + ", t AS (SELECT DISTINCT substr(lower(content), i, 3) AS tri, path FROM (SELECT path, content, unnest(range(1, length(content) - 1)) AS i FROM f)) SELECT tri, count(*) AS files FROM t WHERE regexp_matches(tri, '^[ -~]{3}$') GROUP BY 1")
+def trigram_postings_counts(spark, d):
+    return _trigram_counts(spark, d)
 
 
 @query(

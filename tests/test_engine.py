@@ -240,3 +240,11 @@ def test_imports_by_suffix(spark):
     edges = {tuple(r) for r in deps.resolve(f, outline.imports(f))[0].collect()}
     # a folder by its index file; the longer term before the lesser path
     assert edges == {("app/main.py", "lib/pkg/foo/__init__.py"), ("app/main.py", "z/pkg/utils.py"), ("app/net.rs", "lib/helper/net/mod.rs")}
+
+
+def test_postings_are_counted_in_full(spark):
+    files = A.document_files(spark, SF)
+    words = Q.QUERIES["word_postings_counts"](spark, SF)
+    assert words.agg(F.sum("n")).first()[0] == search.word_postings(files).count()
+    trigrams = Q.QUERIES["trigram_postings_counts"](spark, SF)
+    assert trigrams.agg(F.sum("files")).first()[0] == search.trigram_postings(files).count()
