@@ -248,3 +248,10 @@ def test_postings_are_counted_in_full(spark):
     assert words.agg(F.sum("n")).first()[0] == search.word_postings(files).count()
     trigrams = Q.QUERIES["trigram_postings_counts"](spark, SF)
     assert trigrams.agg(F.sum("files")).first()[0] == search.trigram_postings(files).count()
+
+
+def test_generated_files_are_ignored(spark):
+    paths = ["src/api.gen.ts", "a/user_pb2.py", "Cargo.lock", "web/dist/x.js", "src/agent.rs"]
+    rows = spark.createDataFrame([(p, p, []) for p in paths] + [("related", "src/b.rs", ["gen/b.rs"])], "id string, path string, related_paths array<string>")
+    assert [r.path for r in audit.without_ignored(rows).collect()] == ["src/agent.rs"]
+    assert audit.without_ignored(rows, generated=False).count() == 6
