@@ -166,6 +166,12 @@ class Spans:
             return mix((self.c[b] - self.c[a]) * self.down[a] + (b - a).astype(np.uint64))
 
 
+def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... (size[0] of them), start[1], ..."""
+    ends = np.cumsum(size)
+    return np.repeat(start - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 

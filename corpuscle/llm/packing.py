@@ -102,9 +102,11 @@ def pack_documents(spark: SparkSession, df: DataFrame, path: str | None = None,
 
         for batch in it:
             names = batch.column("doc_id").to_pylist()
-            for i, j, texts in text_lots(batch):
-                for doc, ids in zip(names[i:j], enc.encode(texts)):
-                    packer.add(doc, ids + end)
+            for i, j, b, off in text_lots(batch):
+                ids, at = enc.lot(b, off)
+                raw, at = ids.tobytes(), (4 * at).tolist()
+                for doc, x, y in zip(names[i:j], at, at[1:]):
+                    packer.add(doc, raw[x:y] + end)
                 yield from placed()
         packer.close()
         yield from placed()

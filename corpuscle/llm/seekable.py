@@ -121,11 +121,13 @@ def write_ids(spark: SparkSession, df: DataFrame, folder: str, path: str | None
             w = Writer(out, frame_bytes)
             for batch in it:
                 names = batch.column("doc_id").to_pylist()
-                for i, j, texts in text_lots(batch):
-                    for doc, ids in zip(names[i:j], enc.encode(texts)):
-                        w.add(doc, ids + end)
-                        docs += 1
-                        total += len(ids) // 4 + 1
+                for i, j, b, off in text_lots(batch):
+                    ids, at = enc.lot(b, off)
+                    raw, ends = ids.tobytes(), (4 * at).tolist()
+                    for doc, x, y in zip(names[i:j], ends, ends[1:]):
+                        w.add(doc, raw[x:y] + end)
+                    docs += j - i
+                    total += len(ids) + j - i
             w.close()
         if store.get_file_info(final).type != fs.FileType.NotFound:
             store.delete_file(final)

@@ -146,8 +146,9 @@ def count_tokens(spark: SparkSession, df: DataFrame, path: str | None = None, by
             _KEPT[path, byte_fallback] = Counter(read_vocabulary(path), byte_fallback)
         counter = _KEPT[path, byte_fallback]
         for batch in it:
-            for i, j, texts in text_lots(batch):
-                words, tokens = counter.texts(texts)
+            for i, j, b, off in text_lots(batch):
+                raw, at = b.tobytes(), off.tolist()
+                words, tokens = counter.texts([raw[x:y].decode() for x, y in zip(at, at[1:])])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], names=["doc_id", "n_words", "n_tokens"])
 
     return id_and_text(df).mapInArrow(run, "doc_id long, n_words long, n_tokens long")

@@ -1,6 +1,7 @@
 """The operators against brute force, on small tables with nulls, copies, ties, long texts and extra columns."""
 
 import hashlib
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -298,16 +299,78 @@ def test_encoder_on_random_texts(name):
         assert np.frombuffer(ids, "<u4").tolist() == library_ids(name, t), t
 
 
-def test_transducer():
+@pytest.mark.parametrize("name", [bpe.BYTE_BPE, bpe.WORD_BPE])
+def test_encoder_on_every_character(name):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bpe.tokenizer_path(name))
+    enc = bpe.Encoder(bpe.tokenizer_path(name))
+    # EVERY_CHARACTER=1: all (minutes, as the library is slow); else all below U+3400 and a twentieth of the others
+    points = [p for p in range(0x110000) if not 0xD800 <= p < 0xE000 and (p < 0x3400 or p % 20 == 7 or os.environ.get("EVERY_CHARACTER"))]
+    for k in range(0, len(points), 20_000):
+        some = [f"a{chr(p)}1 {chr(p)}" for p in points[k : k + 20_000]]
+        want = library.encode_batch(some, add_special_tokens=False)
+        different = [hex(p) for p, ids, x in zip(points[k:], enc.encode(some), want) if np.frombuffer(ids, "<u4").tolist() != x.ids]
+        assert not different
+
+
+def test_memo():
+    rnd = np.random.default_rng(1)
+    memo, held = bpe.Memo(10**6), {}
+    for _ in range(30):
+        words = list({f"w{rnd.integers(200_000)}".encode() for _ in range(3000)})
+        flat, off = np.frombuffer(b"".join(words), np.uint8), np.concatenate(([0], np.cumsum([len(w) for w in words])))
+        # few hash values: words of equal hash are told apart by their bytes
+        h = np.array([int(w[1:]) % 5000 for w in words], np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        at = memo.find(h, flat, off[:-1], np.diff(off))
+        for w, i in zip(words, at.tolist()):
+            if i >= 0:
+                a, b = memo.at["ids"][i : i + 2]
+                assert memo.data["ids"][a:b].tolist() == held[w]
+        known = set(memo.hash[: memo.n].tolist())
+        new = {x: i for i, x in enumerate(h.tolist()) if at[i] < 0 and x not in known}
+        own = np.array(sorted(new.values()), np.int64)
+        if len(own):
+            n = np.array([int(words[i][1:]) % 3 for i in own])
+            ids = [[int(words[i][1:])] * k for i, k in zip(own, n)]
+            held |= {words[i]: x for i, x in zip(own, ids)}
+            memo.add(h[own], np.frombuffer(b"".join(words[i] for i in own), np.uint8), np.diff(off)[own], np.array([y for x in ids for y in x], "<u4"), n)
+    assert memo.n == len(held) > 4000
+
+
+def test_transducer(tmp_path):
     rnd = np.random.default_rng(6)
     words = {"".join(rnd.choice(list("abcé"), int(rnd.integers(1, 7)))).encode() for _ in range(500)}
     held = {w: np.array([i, i + 1][: 1 + i % 2], "<u4").tobytes() for i, w in enumerate(sorted(words)) if i % 3}
-    lex = bpe.Lexicon.mapped(bpe.Lexicon.compile(held).to_bytes())
+
+    def find(lexicon, asked):
+        (tmp_path / "lexicon").write_bytes(lexicon.to_bytes())
+        mapped = bpe.Lexicon.mapped(str(tmp_path / "lexicon"))
+        size = np.array([len(w) for w in asked])
+        at = mapped.find(np.frombuffer(b"".join(asked), np.uint8), np.cumsum(size) - size, size)
+        ids, n = mapped.outputs(at[at >= 0])
+        ends = np.cumsum(n)
+        found = iter([ids[e - k : e].tobytes() for e, k in zip(ends, n)])
+        return [next(found) if i >= 0 else None for i in at]
+
     asked = [*sorted(words), b"", b"zzz"]
-    for w, i in zip(asked, lex.find(asked)):
-        assert (lex.output(int(i)) if i >= 0 else None) == held.get(w)
-    assert len(lex.final) < sum(len(w) for w in held)
-    assert (bpe.Lexicon.mapped(bpe.Lexicon.compile({}).to_bytes()).find([b"a"]) == -1).all()
+    lexicon = bpe.Lexicon.compile(held)
+    assert find(lexicon, asked) == [held.get(w) for w in asked]
+    assert len(lexicon.final) < sum(len(w) for w in held)
+    assert find(bpe.Lexicon.compile({}), [b"a"]) == [None]
+
+
+def test_lexicon_changes_no_ids(spark, odd, tmp_path):
+    path = bpe.tokenizer_path(bpe.BYTE_BPE)
+    words = bpe.frequent_words(spark, odd.select("text"), path)
+    few = bpe.frequent_words(spark, odd.select("text"), path, most=40)
+    assert len(few) <= 40 < len(words) and few.items() <= words.items()
+    (tmp_path / "lexicon").write_bytes(bpe.Lexicon.compile(words).to_bytes())
+    some = [t or "" for t in texts().values()]
+    enc = bpe.Encoder(path, str(tmp_path / "lexicon"))
+    assert enc.encode(some) == bpe.Encoder(path).encode(some) and enc.lexicon is not None
+    for ids, t in zip(enc.encode(some), some):
+        assert np.frombuffer(ids, "<u4").tolist() == library_ids(bpe.BYTE_BPE, t)
 
 
 def test_seekable_files(spark, odd, tmp_path):
