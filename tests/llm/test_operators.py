@@ -1,5 +1,6 @@
 """The operators against brute force, on small tables with nulls, copies, ties, long texts and extra columns."""
 
+import functools
 import hashlib
 import os
 import re
@@ -224,13 +225,18 @@ def test_token_counts(spark, odd):
 # --- 5, 6, 10
 
 
-def library_ids(name, text):
+@functools.cache
+def library(name):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(bpe.tokenizer_path(name))
     t.no_truncation()
     t.no_padding()
-    return t.encode(text or "", add_special_tokens=False).ids
+    return t
+
+
+def library_ids(name, text):
+    return library(name).encode(text or "", add_special_tokens=False).ids
 
 
 def test_packing(spark, odd):
@@ -301,15 +307,12 @@ def test_encoder_on_random_texts(name):
 
 @pytest.mark.parametrize("name", [bpe.BYTE_BPE, bpe.WORD_BPE])
 def test_encoder_on_every_character(name):
-    from tokenizers import Tokenizer
-
-    library = Tokenizer.from_file(bpe.tokenizer_path(name))
     enc = bpe.Encoder(bpe.tokenizer_path(name))
     # EVERY_CHARACTER=1: all (minutes, as the library is slow); else all below U+3400 and a twentieth of the others
     points = [p for p in range(0x110000) if not 0xD800 <= p < 0xE000 and (p < 0x3400 or p % 20 == 7 or os.environ.get("EVERY_CHARACTER"))]
     for k in range(0, len(points), 20_000):
         some = [f"a{chr(p)}1 {chr(p)}" for p in points[k : k + 20_000]]
-        want = library.encode_batch(some, add_special_tokens=False)
+        want = library(name).encode_batch(some, add_special_tokens=False)
         different = [hex(p) for p, ids, x in zip(points[k:], enc.encode(some), want) if np.frombuffer(ids, "<u4").tolist() != x.ids]
         assert not different
 
