@@ -52,6 +52,12 @@ def id_and_text(df: DataFrame, *more: str) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
+def unused(df: DataFrame, n: int) -> list[str]:
+    """Names that no column of ``df`` has, for columns that an operator adds for a while."""
+    have = {c.lower() for c in df.columns}
+    return [f"own_{k}" for k in range(n + len(have)) if f"own_{k}" not in have][:n]
+
+
 # --- numpy over Arrow buffers -------------------------------------------------------------------------------------
 
 

@@ -2,21 +2,28 @@
 
 A window is 35 consecutive words of one text. Every window belongs to one anchor: the least hash among its 28 8-grams (the
 leftmost of equals), so equal windows belong to equal anchors wherever they stand. Consecutive windows of one anchor make a
-segment. Segments are dealt by anchor:
-
-* an anchor seen once has nothing repeated;
-* a segment whose words all occur again (equal hash of all its words) is repeated as a whole; equal segments that one task
-  finds are known to be and only one of them is dealt by its anchor, so groups of copies do not meet in one task;
-* the other segments of anchors that several different segments have go to shards by anchor. A shard's different segments
-  make one FM-index (suffix order of the words, their BWT in a wavelet matrix of packed bits), and each segment that is
-  there once is streamed against it: backward search gives how far left of a word the text still occurs twice, and spans of
-  35 words and more are reported;
-* an anchor with more than ``ANCHOR_SEGMENTS`` different segments (the edge of a passage that very many texts share) would
-  make a shard that grows with the input. Its windows are counted one by one by their hashes instead, exactly.
+segment. What is repeated is read from FM-indexes only; hashes choose what goes into them:
+
+1. Segments are dealt by anchor. An anchor that one segment alone has holds nothing repeated and ends here. Of the segments
+   of the others, the different ones are kept once each, with how often they were seen and a place where they stand.
+2. A shard takes the different segments of some anchors and makes one FM-index of them: the suffix order of their words, the
+   BWT in a wavelet matrix of compressed bits, and how often the segments of each suffix were seen, summed in suffix order.
+   Each of its segments is streamed against it: backward search gives how far left of a word the text still occurs twice or
+   more, counting a segment as often as it was seen, and spans of 35 words and more are reported.
+3. An anchor with more than ``ANCHOR_SEGMENTS`` different segments (the edge of a passage that very many texts share) would
+   make a shard that grows with the input. Its segments are cut into their windows, which are dealt by their own hashes: a
+   hash seen once holds nothing repeated, and a window of any other is put, once, into the shard of its hash, as in 2.
+4. The spans of a segment go to all places where it stands. Equal segments that one task finds meet as one row in 1, and the
+   join in 4 is one that Spark splits where a segment has very many places.
+
+Segments are taken as equal when 128 bits of hash are (64 of the anchor, 64 of all words and the anchor's place), windows of
+an anchor as in 3 when 64 bits are: among 10**12 segments the odds of one false match are some 10**-15; in 3 a false match
+needs two windows of such anchors to meet in 64 bits, some 10**-2 among 10**9 of them. Nothing is ever missed by hashes.
 
 Windows are judged on the input: a word is removed if any window over it starts anywhere else too, in the same text or
 another. Null and empty texts and those under 35 words have no window and lose nothing. Rows that repeat are copies of each
-other: what they hold is repeated. A null doc_id takes part as any other.
+other: what they hold is repeated. A null doc_id takes part as any other. A very long text is worked on whole. Columns beside
+doc_id and text are passed on by ``remove_repeats``, whatever their names, and not looked at by ``op_substring_dedup``.
 """
 
 from __future__ import annotations
@@ -25,10 +32,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Spans, Words, documents, mix, parallelism, signed, slices, stored, text_buffer
+from ._common import Spans, Words, documents, mix, parallelism, ragged, signed, slices, stored, text_buffer, unused
 
 WINDOW, GRAM = 35, 8
 ANCHOR_SEGMENTS, SHARD_WORDS = 4096, 400_000
@@ -39,66 +47,88 @@ _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 class Bits:
-    """Packed bits with rank."""
+    """Bits with rank, in blocks of 256; blocks of zeros only or ones only are stored once for all."""
 
     def __init__(self, bits: np.ndarray):
         n = len(bits)
-        self.n = n
         packed = np.packbits(bits, bitorder="little")
-        self.words = np.zeros(n // 64 + 1, np.uint64)
-        self.words.view(np.uint8)[: len(packed)] = packed
-        self.before = np.concatenate(([0], np.cumsum(np.bitwise_count(self.words), dtype=np.int64)))[:-1].astype(np.int32)
+        words = np.zeros((n // 256 + 1, 4), np.uint64)
+        words.reshape(-1).view(np.uint8)[: len(packed)] = packed
+        ones = np.bitwise_count(words).astype(np.int64)
+        total = ones.sum(1)
+        self.before = (np.cumsum(total) - total).astype(np.int32)
+        mixed = (total > 0) & (total < 256)
+        self.place = np.where(mixed, 4 * (np.cumsum(mixed) + 1), np.where(total > 0, 4, 0)).astype(np.int32)
+        kept = np.concatenate((np.zeros((1, 4), np.uint64), np.full((1, 4), _MAX), words[mixed]))
+        self.words = kept.reshape(-1)
+        count = np.bitwise_count(kept).astype(np.int64)
+        self.inside = (np.cumsum(count, 1) - count).astype(np.uint8).reshape(-1)
 
     def rank(self, i: np.ndarray) -> np.ndarray:
         """Ones before place i."""
-        at = i >> 6
+        block = i >> 8
+        at = self.place[block] + (i >> 6 & 3)
         low = (np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)
-        return self.before[at] + np.bitwise_count(self.words[at] & low).astype(np.int64)
+        return self.before[block] + self.inside[at] + np.bitwise_count(self.words[at] & low).astype(np.int64)
 
 
 class Wavelet:
     """A wavelet matrix over symbols 0..sigma - 1."""
 
     def __init__(self, symbols: np.ndarray, sigma: int):
-        self.levels, s = [], symbols
+        self.levels, s = [], symbols.astype(np.int32)
         for level in range(max(1, int(sigma - 1).bit_length()) - 1, -1, -1):
             bit = ((s >> level) & 1).astype(bool)
             self.levels.append((level, Bits(bit), int((~bit).sum())))
             s = np.concatenate((s[~bit], s[bit]))
+        all_ = np.arange(sigma)
+        #: where each symbol's run starts at the end
+        self.start = self._down(all_, np.zeros(sigma, np.int64))
 
-    def rank(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
-        """How often symbol c stands before place i, for each pair; also needs where c's run starts."""
-        lo = np.zeros(len(i), np.int64)
-        hi = i
+    def _down(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
         for level, bits, zeros in self.levels:
-            one = ((c >> level) & 1).astype(bool)
-            a, b = bits.rank(lo), bits.rank(hi)
-            lo, hi = np.where(one, zeros + a, lo - a), np.where(one, zeros + b, hi - b)
-        return hi - lo
+            ones = bits.rank(i)
+            i = np.where((c >> level) & 1, zeros + ones, i - ones)
+        return i
+
+    def rank(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
+        """How often symbol c stands before place i, for each pair."""
+        return self._down(c, i) - self.start[c]
+
+
+def suffix_order(t: np.ndarray, depth: int) -> np.ndarray:
+    """The suffixes of a text of symbols in the order of their first ``depth`` symbols, by doubling."""
+    n = len(t)
+    bits = max(1, int(t.max()).bit_length())
+    h = max(1, 62 // bits)
+    key = np.zeros(n, np.int64)
+    for k in range(h):  # as many symbols as fit into one key
+        key = key << bits
+        key[: n - k] |= t[k:]
+    while True:
+        order = np.argsort(key)
+        sorted_ = key[order]
+        new = np.concatenate(([0], np.cumsum(sorted_[1:] != sorted_[:-1])))
+        if h >= depth or new[-1] == n - 1:
+            return order
+        rank = np.empty(n, np.int64)
+        rank[order] = new
+        key = rank * (n + 1)
+        key[: n - h] += rank[h:] + 1
+        h *= 2
 
 
 class FMIndex:
-    """Counts of words' sequences in a text of symbols >= 1, for sequences of up to ``depth`` symbols."""
+    """Counts of sequences of up to ``depth`` symbols in a text of symbols >= 1; weight: what a suffix counts, by its start."""
 
-    def __init__(self, text: np.ndarray, depth: int = 64):
+    def __init__(self, text: np.ndarray, depth: int = 64, weight: np.ndarray | None = None):
         t = np.concatenate((text, [0])).astype(np.int64)
-        n = len(t)
-        rank, h = t, 1
-        while True:  # prefix doubling up to the depth
-            after = np.zeros(n, np.int64)
-            after[: n - h] = rank[h:] + 1
-            key = rank * (n + int(t.max()) + 2) + after
-            order = np.argsort(key, kind="stable")
-            sorted_ = key[order]
-            new = np.concatenate(([0], np.cumsum(sorted_[1:] != sorted_[:-1])))
-            rank = np.empty(n, np.int64)
-            rank[order] = new
-            h *= 2
-            if h >= depth or new[-1] == n - 1:
-                break
-        self.n, self.sigma = n, int(t.max()) + 1
+        order = suffix_order(t, depth)
+        self.n, self.sigma = len(t), int(t.max()) + 1
         self.first = np.concatenate(([0], np.cumsum(np.bincount(t, minlength=self.sigma))))
         self.bwt = Wavelet(t[order - 1], self.sigma)
+        own = np.ones(self.n, np.int64) if weight is None else np.concatenate((weight, [0]))
+        self.weight = np.concatenate(([0], np.cumsum(own[order])))
 
     def step(self, c: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The intervals of the sequences with c put in front."""
@@ -106,13 +136,13 @@ class FMIndex:
         return self.first[c] + both[: len(c)], self.first[c] + both[len(c) :]
 
     def leftward(self, text: np.ndarray, end: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        """For each end, the least start >= stop such that text[start:end] occurs twice or more (end itself if none)."""
+        """For each end, the least start >= stop such that text[start:end] counts twice or more (end itself if none)."""
         start = end.copy()
         live = np.flatnonzero(end > stop)
         lo, hi = np.zeros(len(live), np.int64), np.full(len(live), self.n, np.int64)
         while len(live):
             lo, hi = self.step(text[start[live] - 1], lo, hi)
-            ok = hi - lo >= 2
+            ok = self.weight[hi] - self.weight[lo] >= 2
             live, lo, hi = live[ok], lo[ok], hi[ok]
             start[live] -= 1
             more = start[live] > stop[live]
@@ -120,23 +150,24 @@ class FMIndex:
         return start
 
 
-def repeated_windows(segments: list[np.ndarray], asked: np.ndarray, window: int = WINDOW) -> list[np.ndarray]:
-    """Of each asked segment of words, the starts of windows that occur twice or more in all segments together."""
-    size = np.array([len(s) for s in segments], np.int64)
-    _, codes = np.unique(np.concatenate(segments), return_inverse=True)
-    begin = np.concatenate(([0], np.cumsum(size + 1)))[:-1]
+def repeated_windows(words: np.ndarray, size: np.ndarray, times: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, first window, windows) of the runs of windows that occur twice or more in all segments together.
+
+    words: those of all segments, one after another; size: how many each has; times: how often each segment counts.
+    """
+    _, codes = np.unique(words, return_inverse=True)
+    begin = np.cumsum(size + 1) - size - 1
     text = np.ones(int(size.sum()) + len(size), np.int64)  # 1 ends a segment
     inside = np.ones(len(text), bool)
     inside[begin + size] = False
     text[inside] = codes + 2
-    index = FMIndex(text, max(64, int(size.max()) + 1))
-    a, e = begin[asked], (begin + size)[asked]
+    index = FMIndex(text, max(64, int(size.max()) + 1), np.repeat(times, size + 1))
+    a, e = begin, begin + size
     # from the right end as far left as it occurs twice
     start = index.leftward(text, e, a)
     known = np.minimum(start, e - window + 1)  # windows from here on are known; repeated if start <= e - window
-    spans = [[] for _ in asked]
-    for i in np.flatnonzero(e - start >= window).tolist():
-        spans[i].append((int(start[i] - a[i]), int(e[i] - window + 1 - a[i])))
+    whole = np.flatnonzero(e - start >= window)
+    found = [(whole, (start - a)[whole], (e - window + 1 - start)[whole])]
     # the windows left of it, from left to right; where one fails, all that hold the failing part are passed over
     at = a.copy()
     live = np.flatnonzero(at < known)
@@ -144,11 +175,16 @@ def repeated_windows(segments: list[np.ndarray], asked: np.ndarray, window: int
         end = at[live] + window
         got = index.leftward(text, end, at[live])
         good = got == at[live]
-        for i, s in zip(live[good].tolist(), (at[live][good] - a[live][good]).tolist()):
-            spans[i].append((s, s + 1))
+        which = live[good]
+        found.append((which, at[which] - a[which], np.ones(len(which), np.int64)))
         at[live] = np.where(good, at[live] + 1, got)
         live = live[at[live] < known[live]]
-    return [np.concatenate([np.arange(x, y) for x, y in s]) if s else np.zeros(0, np.int64) for s in spans]
+    which, first, n = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((first, which))
+    which, first, n = which[order], first[order], n[order]
+    new = np.concatenate(([True], (which[1:] != which[:-1]) | (first[1:] != first[:-1] + n[:-1])))[: len(which)]
+    heads = np.flatnonzero(new)
+    return which[heads], first[heads], np.add.reduceat(n, heads) if len(heads) else n
 
 
 # --- segments -------------------------------------------------------------------------------------------------------
@@ -195,7 +231,7 @@ def segments(w: Words, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarr
     return doc[a], a - w.first[doc[a]], size, grams[o], whole
 
 
-#: known: 0 as found; 1 this task has equal segments too; 2 one of those, that need not be dealt by its anchor
+#: known: 0 as found; 1 this lot has equal segments too; 2 one of those, that need not be dealt by its anchor
 _SEGMENT = "anchor long, seg long, doc_id long, t long, start int, windows int, known int"
 
 
@@ -222,74 +258,57 @@ def _segments(it):
             yield whole_batch.slice(k, 50_000)
 
 
-_SORTED_OUT = "kind int, anchor long, single boolean, doc_id long, t long, start int, windows int"
-REPEATED, COMPARE, COUNT = 0, 1, 2
+#: a place of a segment; a different segment, with how often it was seen at least; an anchor with too many different ones
+PLACE, SEGMENT, HOT = range(3)
+_SORTED = "kind int, anchor long, seg long, doc_id long, t long, start int, windows int, times long"
 
 
 class _Sorter:
-    """Reads segments sorted by anchor and segment hash; keeps at most ANCHOR_SEGMENTS of one anchor in memory."""
+    """Reads segments sorted by anchor and segment hash. Only the last row is held, as what follows it decides about it."""
 
     def __init__(self, most: int):
         self.most = most
-        self.held: pa.RecordBatch | None = None  # the last row: whether the next equals it is not known yet
-        self.held_same = False
-        self.anchor, self.kept, self.n_kept, self.hot = None, [], 0, False
+        self.held: pa.RecordBatch | None = None
+        #: the held row: is its anchor, its segment that of the row before; how often its segment, how many segments of its anchor before
+        self.anchor_before, self.seg_before, self.times, self.different = False, False, 0, 0
 
     @staticmethod
-    def _out(rows: pa.RecordBatch, kind: int, single) -> pa.RecordBatch:
-        n = rows.num_rows
-        flags = pa.array(np.broadcast_to(single, n))
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), rows.column("anchor"), flags, *(rows.column(c) for c in ("doc_id", "t", "start", "windows"))], names=["kind", "anchor", "single", "doc_id", "t", "start", "windows"])
-
-    def _release(self, done: bool):
-        """What is kept of the current anchor: to be compared, to be counted if it is too much, nothing if alone."""
-        if self.hot or self.n_kept > self.most:
-            self.hot = True
-            for rows, single in self.kept:
-                yield self._out(rows, COUNT, single)
-            self.kept, self.n_kept = [], 0
-        elif done and self.n_kept > 1 and any(s.any() for _, s in self.kept):
-            for rows, single in self.kept:
-                yield self._out(rows, COMPARE, single)
-        if done:
-            self.kept, self.n_kept, self.hot = [], 0, False
+    def _out(rows: pa.RecordBatch, kind: int, times: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(rows.num_rows, kind, np.int32)), *(rows.column(c) for c in ("anchor", "seg", "doc_id", "t", "start", "windows")), pa.array(times, pa.int64())], names=["kind", "anchor", "seg", "doc_id", "t", "start", "windows", "times"])
 
     def feed(self, batch: pa.RecordBatch | None):
         """The next rows; None: the end."""
         rows = batch if self.held is None else self.held if batch is None else pa.Table.from_batches([self.held, batch]).combine_chunks().to_batches()[0]
         if rows is None or not rows.num_rows:
             return
-        key, seg = rows.column("anchor").to_numpy(), rows.column("seg").to_numpy()
-        n = len(key)
-        same = np.concatenate(([self.held_same], (key[1:] == key[:-1]) & (seg[1:] == seg[:-1])))
-        whole = n if batch is None else n - 1
-        after = np.concatenate((same[1:], [False]))[:whole]
-        self.held, self.held_same = (None, False) if batch is None else (rows.slice(n - 1, 1), bool(same[-1]))
-        if not whole:
+        anchor, seg, known = (rows.column(c).to_numpy() for c in ("anchor", "seg", "known"))
+        n = len(anchor)
+        m = n if batch is None else n - 1
+        same_anchor = np.concatenate(([self.anchor_before], anchor[1:] == anchor[:-1], [False]))
+        same = np.concatenate(([self.seg_before], (anchor[1:] == anchor[:-1]) & (seg[1:] == seg[:-1]), [False]))
+        # sums over the rows of a segment, and of different segments over those of an anchor, that go on from the rows before
+        seen = np.cumsum(1 + (known == 1))
+        head = np.maximum.accumulate(np.where(same[:n], -1, np.arange(n)))
+        times = seen - np.where(head >= 0, np.concatenate(([0], seen))[head], -self.times)
+        fresh = np.cumsum(~same[:n])
+        head = np.maximum.accumulate(np.where(same_anchor[:n], -1, np.arange(n)))
+        different = fresh - np.where(head >= 0, np.concatenate(([0], fresh))[head], -self.different)
+        some = (same_anchor[:m] | same_anchor[1 : m + 1]) | (known[:m] == 1)
+        if some.any():
+            yield self._out(rows.filter(pa.array(np.concatenate((some, np.zeros(n - m, bool))))), PLACE, np.zeros(int(some.sum()), np.int64))
+            last = np.flatnonzero(some & ~same[1 : m + 1])
+            if len(last):
+                yield self._out(rows.take(pa.array(last)), SEGMENT, times[last])
+            full = np.flatnonzero(~same_anchor[1 : m + 1] & (different[:m] > self.most))
+            if len(full):
+                yield self._out(rows.take(pa.array(full)), HOT, different[full])
+        if batch is None:
+            self.held = None
             return
-        key, same = key[:whole], same[:whole]
-        rows = rows.slice(0, whole)
-        again = same | after | (rows.column("known").to_numpy() == 1)
-        if again.any():
-            yield self._out(rows.filter(pa.array(again)), REPEATED, False)
-        firsts = np.flatnonzero(~same)
-        reps, single, key = rows.take(pa.array(firsts)), ~again[firsts], key[firsts]
-        if not len(key):
-            return
-        cuts = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]))
-        # anchors that begin and end here and have one segment need nothing
-        for k in np.flatnonzero((np.diff(cuts) > 1) | (np.arange(len(cuts) - 1) == 0) | (np.arange(len(cuts) - 1) == len(cuts) - 2)).tolist():
-            a, b = int(cuts[k]), int(cuts[k + 1])
-            if key[a] != self.anchor:
-                yield from self._release(True)
-                self.anchor = key[a]
-            self.kept.append((reps.slice(a, b - a), single[a:b]))
-            self.n_kept += b - a
-            yield from self._release(False)
-
-    def close(self):
-        yield from self.feed(None)
-        yield from self._release(True)
+        self.held = rows.slice(n - 1, 1)
+        self.anchor_before, self.seg_before = bool(same_anchor[n - 1]), bool(same[n - 1])
+        self.times = int(times[n - 1]) - 1 - int(known[n - 1] == 1)
+        self.different = int(different[n - 1]) - int(not same[n - 1])
 
 
 def _sort_segments(most):
@@ -298,97 +317,69 @@ def _sort_segments(most):
         for b in it:
             passing = b.column("known").to_numpy() == 2
             if passing.any():
-                yield s._out(b.filter(pa.array(passing)), REPEATED, False)
+                yield s._out(b.filter(pa.array(passing)), PLACE, np.zeros(int(passing.sum()), np.int64))
                 b = b.filter(pa.array(~passing))
             if b.num_rows:
                 yield from s.feed(b)
-        if s.held is not None:
-            yield from s.close()
+        yield from s.feed(None)
 
     return run
 
 
-_CONTENT = "kind int, anchor long, single boolean, doc_id long, t long, start int, windows int, words array<long>"
+_CONTENT = "anchor long, seg long, times long, hot boolean, windows int, words array<long>"
 
 
 def _contents(it):
-    """The words of asked segments; of those to be counted, a row for each window with its hash as anchor."""
+    """The words of asked segments."""
     for b in it:
         buf, off = text_buffer(b.column("text"))
-        asked = b.column("asked")
+        lists = b.column("asked")
+        at, asked = lists.offsets.to_numpy(), lists.values
+        start, windows = (asked.field(c).to_numpy() for c in ("start", "windows"))
         for i, j in slices(off):
             w = Words(buf, off[i : j + 1])
-            h = w.hashes()
-            span = Spans(h)
-            rows = []
-            for k in range(i, j):
-                f, doc, t = int(w.first[k - i]), b.column("doc_id")[k].as_py(), b.column("t")[k].as_py()
-                for x in asked[k].as_py():
-                    a = f + x["start"]
-                    if x["kind"] == COMPARE:
-                        rows.append((COMPARE, x["anchor"], x["single"], doc, t, x["start"], x["windows"], signed(h[a : a + x["windows"] + WINDOW - 1])))
-                    else:
-                        at = np.arange(a, a + x["windows"])
-                        rows += [(COUNT, int(v), x["single"], doc, t, x["start"] + y, 1, None) for y, v in enumerate(signed(span(at, at + WINDOW)))]
-            for k in range(0, len(rows), 4096):
-                part = list(zip(*rows[k : k + 4096]))
-                kinds = [pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, d) for c, d in zip(part, kinds)], names=["kind", "anchor", "single", "doc_id", "t", "start", "windows", "words"])
-
+            h = signed(w.hashes())
+            a, e = int(at[i]), int(at[j])
+            doc = np.repeat(np.arange(j - i), np.diff(at[i : j + 1]))
+            size = windows[a:e].astype(np.int64) + WINDOW - 1
+            words = h[ragged(w.first[doc] + start[a:e], size)]
+            own = asked.slice(a, e - a)
+            ends = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
+            whole = pa.RecordBatch.from_arrays([*(own.field(c) for c in ("anchor", "seg", "times", "hot", "windows")), pa.ListArray.from_arrays(pa.array(ends), pa.array(words))], names=["anchor", "seg", "times", "hot", "windows", "words"])
+            for k in range(0, e - a, 4096):
+                yield whole.slice(k, 4096)
 
-_SPAN = "doc_id long, t long, start int, windows int"
 
-
-def _spans(rows):
-    part = list(zip(*rows))
-    return pa.RecordBatch.from_arrays([pa.array(c, d) for c, d in zip(part, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["doc_id", "t", "start", "windows"])
+#: runs of repeated windows of a segment (anchor, seg); of a window of a hot anchor (its hash, null)
+_RUN = "anchor long, seg long, at int, n int"
 
 
 def _search_shards(it):
-    """Rows of one shard after another: index its segments, stream the single ones against it."""
-
-    def search(rows):
-        asked = np.array([i for i, r in enumerate(rows) if r[0]], np.int64)
-        if not len(asked):
-            return
-        out = []
-        for i, found in zip(asked.tolist(), repeated_windows([r[4] for r in rows], asked)):
-            if len(found):
-                for part in np.split(found := np.unique(found), np.flatnonzero(np.diff(found) > 1) + 1):
-                    out.append((rows[i][1], rows[i][2], rows[i][3] + int(part[0]), len(part)))
-        if out:
-            yield _spans(out)
-
-    shard, rows = None, []
-    for b in it:
-        words = b.column("words")
-        off, flat = words.offsets.to_numpy(), words.values.to_numpy()
-        for k, (s, single, doc, t, start) in enumerate(zip(*(b.column(c).to_pylist() for c in ("shard", "single", "doc_id", "t", "start")))):
-            if s != shard:
-                yield from search(rows)
-                shard, rows = s, []
-            rows.append((single, doc, t, start, flat[off[k] : off[k + 1]]))
-    yield from search(rows)
-
-
-def _count_windows(it):
-    """Windows sorted by hash: those of single segments whose hash comes more than once (or is a repeated segment's)."""
-    held = None
+    """Rows of one shard after another: index its segments, stream them against it."""
+
+    def search(parts):
+        rows = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        words = rows.column("words")
+        off = words.offsets.to_numpy().astype(np.int64)
+        which, at, n = repeated_windows(words.values.to_numpy()[off[0] : off[-1]], np.diff(off), rows.column("times").to_numpy())
+        if len(which):
+            take = pa.array(which)
+            yield pa.RecordBatch.from_arrays([rows.column("anchor").take(take), rows.column("seg").take(take), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))], names=["anchor", "seg", "at", "n"])
+
+    shard, parts = None, []
     for b in it:
-        cols = [b.column(c).to_pylist() for c in ("anchor", "single", "doc_id", "t", "start")]
-        out = []
-        for row in zip(*cols):
-            if held is not None:
-                same = held[0][0] == row[0]
-                if held[0][1] and (same or held[1]):
-                    out.append((held[0][2], held[0][3], held[0][4], 1))
-                held = (row, same)
-            else:
-                held = (row, False)
-        if out:
-            yield _spans(out)
-    if held is not None and held[0][1] and held[1]:
-        yield _spans([(held[0][2], held[0][3], held[0][4], 1)])
+        if not b.num_rows:
+            continue
+        own = b.column("shard").to_numpy()
+        cuts = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(own)]
+        for x, y in zip(cuts, cuts[1:]):
+            if own[x] != shard:
+                if parts:
+                    yield from search(parts)
+                shard, parts = own[x], []
+            parts.append(b.slice(x, y - x))
+    if parts:
+        yield from search(parts)
 
 
 def keyed(df: DataFrame) -> DataFrame:
@@ -400,89 +391,102 @@ def repeated_spans(spark: SparkSession, df: DataFrame, anchor_segments: int = AN
     docs = keyed(df)
     wide = parallelism(spark, docs)
     key = F.when(F.col("known") == 2, F.xxhash64("t", "start", "doc_id")).otherwise(F.col("anchor"))
-    dealt = docs.mapInArrow(_segments, _SEGMENT).repartition(wide, key).sortWithinPartitions("anchor", "seg", "doc_id", "t", "start")
-    found = stored(spark, dealt.mapInArrow(_sort_segments(anchor_segments), _SORTED_OUT), "segments")
-    asked = found.where(f"kind <> {REPEATED}")
-    total, n = asked.agg(F.sum(F.when(F.col("kind") == COMPARE, F.col("windows") + WINDOW - 1)), F.count(F.lit(1))).first()
-    spans = found.where(f"kind = {REPEATED}").select("doc_id", "t", "start", "windows")
-    if not n:
-        return spans
-    by_text = asked.groupBy("doc_id", "t").agg(F.collect_list(F.struct("kind", "anchor", "single", "start", "windows")).alias("asked"))
-    by_text = by_text.select(F.col("doc_id").alias("d"), F.col("t").alias("dt"), "asked")
+    dealt = docs.mapInArrow(_segments, _SEGMENT).repartition(wide, key).sortWithinPartitions("anchor", "seg")
+    found = stored(spark, dealt.mapInArrow(_sort_segments(anchor_segments), _SORTED), "segments")
+    different = found.where(f"kind = {SEGMENT}")
+    total = different.agg(F.sum(F.col("windows") + WINDOW - 1)).first()[0]
+    if total is None:
+        return spark.createDataFrame([], "doc_id long, t long, start int, windows int")
+    hot = found.where(f"kind = {HOT}").select("anchor", F.lit(True).alias("hot"))
+    asked = different.join(hot, "anchor", "left").select("doc_id", "t", F.struct("anchor", "seg", "times", F.coalesce("hot", F.lit(False)).alias("hot"), "start", "windows").alias("one"))
+    by_text = asked.groupBy(F.col("doc_id").alias("d"), F.col("t").alias("dt")).agg(F.collect_list("one").alias("asked"))
     joined = docs.join(by_text, docs.t.eqNullSafe(by_text.dt) & docs.doc_id.eqNullSafe(by_text.d)).dropDuplicates(["doc_id", "t"])
-    contents = stored(spark, joined.select("doc_id", "t", "text", "asked").mapInArrow(_contents, _CONTENT), "contents")
-    n_shards = max(1, -(-(total or 0) // shard_words))
+    contents = stored(spark, joined.select("text", "asked").mapInArrow(_contents, _CONTENT), "contents")
+    whole, cut = contents.where("not hot").select("anchor", "seg", "times", "words"), contents.where("hot")
+
+    # the windows of hot anchors, one of each hash that was seen twice or more
+    hashes = F.transform(F.sequence(F.lit(1), F.col("windows")), lambda i: F.xxhash64(F.slice("words", i, F.lit(WINDOW))))
+    single = cut.select("anchor", "seg", "times", F.posexplode(hashes).alias("at", "window"))
+    again = single.groupBy("window").agg(F.sum("times").alias("times"), F.min(F.struct("anchor", "seg", "at")).alias("r")).where("times > 1")
+    again = again.select("window", "times", "r.*").join(cut.select("anchor", "seg", "words"), ["anchor", "seg"])
+    again = again.select(F.col("window").alias("anchor"), F.lit(None).cast("long").alias("seg"), "times", F.slice("words", F.col("at") + 1, F.lit(WINDOW)).alias("words"))
+
+    n_shards = max(1, -(-total // shard_words))
     shard = F.pmod(F.xxhash64("anchor"), F.lit(n_shards)).alias("shard")
-    sharded = contents.where(f"kind = {COMPARE}").select(shard, "single", "doc_id", "t", "start", "words").repartition(min(n_shards, max(wide, n_shards // 4)), "shard").sortWithinPartitions("shard", "doc_id", "t", "start")
-    counted = contents.where(f"kind = {COUNT}").select("anchor", "single", "doc_id", "t", "start").repartition(wide, "anchor").sortWithinPartitions("anchor", "single", "doc_id", "t", "start")
-    return spans.union(sharded.mapInArrow(_search_shards, _SPAN)).union(counted.mapInArrow(_count_windows, _SPAN))
+    sharded = whole.union(again).select(shard, "anchor", "seg", "times", "words").repartition(min(n_shards, max(wide, n_shards // 4)), "shard").sortWithinPartitions("shard", "anchor", "seg")
+    runs = stored(spark, sharded.mapInArrow(_search_shards, _RUN), "runs")
+
+    one = single.join(runs.where("seg is null").select(F.col("anchor").alias("window")), "window").select("anchor", "seg", "at", F.lit(1).alias("n"))
+    every = runs.where("seg is not null").union(one).groupBy("anchor", "seg").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
+    every = stored(spark, every, "verdicts")
+    places = found.where(f"kind = {PLACE}").select("anchor", "seg", "doc_id", "t", "start")
+    spans = places.join(every, ["anchor", "seg"]).select("doc_id", "t", "start", F.explode("runs").alias("run"))
+    return spans.select("doc_id", "t", (F.col("start") + F.col("run.at")).cast("int").alias("start"), F.col("run.n").alias("windows"))
 
 
-def with_spans(spark: SparkSession, df: DataFrame, **bounds) -> DataFrame:
-    """``df`` with ``__spans``, an array of (start, windows) or null."""
+def with_spans(spark: SparkSession, df: DataFrame, **bounds) -> tuple[DataFrame, str]:
+    """``df`` with an array of (start, windows) or null, and that column's name."""
+    name, d, dt = unused(df, 3)
     spans = stored(spark, repeated_spans(spark, df, **bounds), "spans")
-    by_text = spans.groupBy("doc_id", "t").agg(F.collect_set(F.struct("start", "windows")).alias("__spans")).select(F.col("doc_id").alias("__d"), F.col("t").alias("__dt"), "__spans")
+    by_text = spans.groupBy("doc_id", "t").agg(F.collect_set(F.struct("start", "windows")).alias(name)).select(F.col("doc_id").alias(d), F.col("t").alias(dt), name)
     t = F.xxhash64(F.coalesce("text", F.lit("")))
-    return df.join(by_text, t.eqNullSafe(F.col("__dt")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__d")), "left").drop("__d", "__dt")
-
-
-def kept_words(spans: list | None, w: Words, k: int) -> tuple[np.ndarray, int]:
-    """Which words of text k stay, and how many go."""
-    n = int(w.first[k + 1] - w.first[k])
-    gone = np.zeros(n + 1, np.int64)
-    for s in spans or ():
-        gone[s["start"]] += 1
-        gone[min(n, s["start"] + s["windows"] + WINDOW - 1)] -= 1
-    gone = np.cumsum(gone)[:-1] > 0
-    return ~gone, int(gone.sum())
+    return df.join(by_text, t.eqNullSafe(F.col(dt)) & F.col("doc_id").cast("long").eqNullSafe(F.col(d)), "left").drop(d, dt), name
 
 
-def _texts(batch: pa.RecordBatch):
+def _texts(batch: pa.RecordBatch, name: str):
     """(row, words, removed, kept text as bytes) of every text."""
     buf, off = text_buffer(batch.column("text"))
-    spans = batch.column("__spans")
+    lists = batch.column(name)
+    at, flat = lists.offsets.to_numpy(), lists.values
+    start, windows = (flat.field(c).to_numpy() for c in ("start", "windows"))
     for i, j in slices(off):
         w = Words(buf, off[i : j + 1])
         raw = w.bytes.tobytes()
-        lists = spans.slice(i, j - i).to_pylist()
-        for k in range(j - i):
-            a, b = w.first[k], w.first[k + 1]
-            keep, gone = kept_words(lists[k], w, k)
-            yield i + k, int(b - a), gone, b" ".join([raw[x:y] for x, y in zip(w.start[a:b][keep].tolist(), w.end[a:b][keep].tolist())])
+        a, e = int(at[i]), int(at[j])
+        doc = np.repeat(np.arange(j - i), np.diff(at[i : j + 1]))
+        begin = w.first[doc] + start[a:e]
+        change = np.bincount(begin, minlength=len(w.start) + 1) - np.bincount(begin + windows[a:e] + WINDOW - 1, minlength=len(w.start) + 1)
+        stays = np.cumsum(change)[: len(w.start)] == 0
+        first, left = w.first, np.concatenate(([0], np.cumsum(stays)))[w.first]
+        kept = np.flatnonzero(stays)
+        x, y = w.start[kept].tolist(), w.end[kept].tolist()
+        for k, (f, g, p, q) in enumerate(zip(first.tolist(), first[1:].tolist(), left.tolist(), left[1:].tolist())):
+            yield i + k, g - f, g - f - q + p, b" ".join([raw[u:v] for u, v in zip(x[p:q], y[p:q])])
 
 
 def op_substring_dedup(spark: SparkSession, df: DataFrame, **bounds) -> DataFrame:
     """doc_id, n_words, n_removed and the digest of what stays of every text."""
+    docs, name = with_spans(spark, df.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), **bounds)
 
     def run(it):
         for b in it:
-            rows = [(n, gone, hashlib.sha256(raw).hexdigest()) for _, n, gone, raw in _texts(b)]
+            rows = [(n, gone, hashlib.sha256(raw).hexdigest()) for _, n, gone, raw in _texts(b, name)]
             if rows:
                 n, gone, digest = zip(*rows)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest)], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return with_spans(spark, docs, **bounds).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return docs.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove_repeats(spark: SparkSession, df: DataFrame, **bounds) -> DataFrame:
     """``df`` without repeated passages: texts that lose words become what stays, joined by blanks; others stay as they are."""
     schema = df.schema
+    docs, name = with_spans(spark, df, **bounds)
 
     def run(it):
         for b in it:
             texts = b.column("text").to_pylist()
-            for i, _, gone, raw in _texts(b):
+            for i, _, gone, raw in _texts(b, name):
                 if gone:
                     texts[i] = raw.decode()
-            out = b.drop_columns(["__spans"])
+            out = b.drop_columns([name])
             at = out.schema.get_field_index("text")
             out = out.set_column(at, out.schema.field(at), pa.array(texts, out.schema.field(at).type))
             if (at := out.schema.get_field_index("n_chars")) >= 0:
                 out = out.set_column(at, out.schema.field(at), pa.array([None if t is None else len(t) for t in texts], out.schema.field(at).type))
             yield out
 
-    return with_spans(spark, df, **bounds).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def op9_substring_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -493,7 +493,7 @@ def brute_kept(rows, window=35):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("bounds", [{}, {"anchor_segments": 1, "shard_words": 500}, {"anchor_segments": 3, "shard_words": 500}])
+@pytest.mark.parametrize("bounds", [{}, {"anchor_segments": 1, "shard_words": 500}, {"anchor_segments": 3, "shard_words": 500}, {"anchor_segments": 0}])
 def test_substring_dedup(spark, odd, bounds):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     got = [tuple(r) for r in substring.op_substring_dedup(spark, odd, **bounds).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()]
@@ -531,7 +531,21 @@ def test_repeated_windows():
     rnd = np.random.default_rng(9)
     for _ in range(20):
         segments = [rnd.integers(0, 3, int(rnd.integers(6, 20))) for _ in range(12)]
-        seen = Counter(tuple(s[i : i + 6]) for s in segments for i in range(len(s) - 5))
-        got = substring.repeated_windows(segments, np.arange(12), window=6)
-        for s, g in zip(segments, got):
-            assert sorted(set(g.tolist())) == [i for i in range(len(s) - 5) if seen[tuple(s[i : i + 6])] > 1]
+        times = rnd.choice([1, 1, 1, 2, 5], 12)
+        seen = Counter()
+        for s, k in zip(segments, times):
+            for i in range(len(s) - 5):
+                seen[tuple(s[i : i + 6])] += int(k)
+        which, at, n = substring.repeated_windows(np.concatenate(segments), np.array([len(s) for s in segments]), times, window=6)
+        for k, s in enumerate(segments):
+            got = [x for a, m in zip(at[which == k], n[which == k]) for x in range(a, a + m)]
+            assert got == [i for i in range(len(s) - 5) if seen[tuple(s[i : i + 6])] > 1]
+
+
+def test_compressed_bits():
+    rnd = np.random.default_rng(2)
+    for n in (0, 1, 255, 256, 257, 5000):
+        bits = np.repeat(rnd.random(n // 200 + 1) < 0.5, 200)[:n] ^ (rnd.random(n) < (0.3 if n < 300 else 0.0002))
+        b, at = substring.Bits(bits), np.arange(n + 1)
+        assert (b.rank(at) == np.concatenate(([0], np.cumsum(bits)))).all()
+    assert len(b.words) < n // 64  # long runs are stored once
