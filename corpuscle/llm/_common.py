@@ -13,6 +13,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +59,19 @@ def unused(df: DataFrame, n: int) -> list[str]:
     return [f"own_{k}" for k in range(n + len(have)) if f"own_{k}" not in have][:n]
 
 
+def numbered(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a number for each row that is the same whenever it is read again: a hash of its file and place there.
+
+    Of the file's name only the part up to its first number counts, as writers add random ones. So rows of few files may get
+    equal numbers, never many of one file. What is not read from Parquet files is written first.
+    """
+    try:
+        df.select("_metadata.row_index")
+    except AnalysisException:
+        df = stored(spark, df, "rows")
+    return df.select("*", F.xxhash64(F.regexp_extract("_metadata.file_name", r"^\D*\d*", 0), F.col("_metadata.row_index")).alias(name))
+
+
 # --- numpy over Arrow buffers -------------------------------------------------------------------------------------
 
 

@@ -10,7 +10,9 @@ the paragraph as a whole). A fingerprint is the sum of its paragraphs' vectors,
   (||a - b||**2 is the expected size of what differs). ``likeness`` is 2 a.b / (||a||**2 + ||b||**2), held to 0..1.
 
 A null text is an empty one: no paragraph, the zero vector; two such fingerprints are equal and alike 1.0, an empty and a
-non-empty one 0.0. A null doc_id sorts before all others; ties of doc_id are taken in order of text.
+non-empty one 0.0. A null doc_id sorts before all others; ties of doc_id are taken in order of a hash of their texts. Repeated
+rows follow one another, each is the next document of the one before. A very long text is hashed whole, in one step of its
+own. Columns beside doc_id and text are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import SLICE_BYTES, _U, documents, id_and_text, parallelism
+from ._common import SLICE_BYTES, _U, documents, id_and_text, numbered, parallelism
 
 LANES, BINS, WINDOW = 16, 256, 16
 _NL = 10
@@ -124,24 +126,38 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - q] + following[:q] if q else text
 
 
-def with_following(spark: SparkSession, df: DataFrame) -> tuple[DataFrame, int]:
+def _ordered(*parts: np.ndarray) -> np.ndarray:
+    """Rows of 64-bit integers as 24-byte strings in the same order."""
+    wide = np.stack([p.astype(np.int64).view(np.uint64) ^ _U(1 << 63) for p in parts], 1).astype(">u8")
+    return np.ascontiguousarray(wide).view(f"S{8 * len(parts)}").ravel()
+
+
+def with_following(spark: SparkSession, df: DataFrame) -> DataFrame:
     """Documents in blocks of consecutive doc_ids, with the first of the next block at the end of each (``tail``).
 
-    One shuffle of the texts. Block edges are quantiles of doc_id; the driver sees one id per block.
+    Blocks are cut by range of (doc_id, hash of the text, row), so ties and repeated rows are split as any others; the driver
+    sees 24 bytes a block. Texts are shuffled once.
     """
     n = parallelism(spark, df)
-    df = df.withColumn("k", F.coalesce("doc_id", F.lit(-(2**63))))
-    edges = sorted({*df.approxQuantile("k", [i / n for i in range(1, n)], 0.25 / n)}) if n > 1 else []
-    at = F.size(F.filter(F.array(*[F.lit(float(x)) for x in edges]), lambda x: x < F.col("k").cast("double"))) if edges else F.lit(0)
-    df = df.withColumn("b", at)
-    firsts = sorted(tuple(r) for r in df.groupBy("b").agg(F.min("k")).collect())  # one row a block
-    if not firsts:
-        return df.withColumn("tail", F.lit(False)), n
-    tails = spark.createDataFrame([(k, firsts[i - 1][0]) for i, (_, k) in enumerate(firsts)], "k long, before int")
-    df = df.join(F.broadcast(tails), "k", "left")
-    copies = F.when(F.col("before").isNull(), F.array(F.struct(F.col("b"), F.lit(False).alias("tail")))).otherwise(F.array(F.struct(F.col("b"), F.lit(False).alias("tail")), F.struct(F.col("before").alias("b"), F.lit(True).alias("tail"))))
-    df = df.withColumn("to", F.explode(copies)).select("doc_id", "k", "text", "to.b", "to.tail")
-    return df.repartition(n, "b").sortWithinPartitions("b", "tail", "k", "text"), n
+    least = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
+    df = numbered(spark, df, "row").select("doc_id", "text", least.alias("k"), F.xxhash64("text").alias("t"), "row")
+    ranges = df.select("k", "t", "row").repartitionByRange(n, "k", "t", "row")
+    firsts = ranges.groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct("k", "t", "row")).alias("first")).collect()  # one row a block
+    bounds = np.sort(_ordered(*(np.array([r.first[i] for r in firsts], np.int64) for i in range(3))))
+    shared, last = spark.sparkContext.broadcast(bounds), len(bounds) - 1
+
+    def deal(it):
+        for b in it:
+            at = _ordered(*(b.column(c).to_numpy() for c in ("k", "t", "row")))
+            block = np.searchsorted(shared.value, at, "right") - 1
+            first = np.flatnonzero(shared.value[block] == at)
+            both = np.concatenate((np.arange(len(at)), first))
+            to = np.concatenate((block, np.where(block[first] == 0, last, block[first] - 1)))
+            flags = np.concatenate((np.zeros(len(at), bool), np.ones(len(first), bool)))
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(both)) for c in ("doc_id", "text", "k", "t", "row")), pa.array(to.astype(np.int32)), pa.array(flags)], names=["doc_id", "text", "k", "t", "row", "b", "tail"])
+
+    dealt = df.mapInArrow(deal, "doc_id long, text string, k long, t long, row long, b int, tail boolean")
+    return dealt.repartitionById(max(1, len(bounds)), "b").sortWithinPartitions("b", "tail", "k", "t", "row")
 
 
 _OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -192,7 +208,7 @@ def _score(it):
 
 def op_fingerprints(spark: SparkSession, df: DataFrame) -> DataFrame:
     """Each text's fingerprint, that of its edited text, and how alike it is to the edited and to the next text."""
-    blocks, _ = with_following(spark, id_and_text(df))
+    blocks = with_following(spark, id_and_text(df))
     return blocks.select("doc_id", "b", "tail", "text").mapInArrow(_score, _OUT)
 
 

@@ -1,5 +1,6 @@
 """The operators against brute force, on small tables with nulls, copies, ties, long texts and extra columns."""
 
+import base64
 import functools
 import hashlib
 import os
@@ -81,6 +82,60 @@ def test_fingerprint_algebra():
     assert f("x\nx") != f("x") and f(None) == f("")
 
 
+def brute_fingerprint(text):
+    """The sum of the paragraphs' vectors, a window and a digest at a time."""
+    exact, sketch = [0] * 16, [0] * 256
+    for p in (text or "").encode().split(b"\n"):
+        if not p:
+            continue
+        d = hashlib.blake2b(p, digest_size=64, person=b"corpuscle-a").digest() + hashlib.blake2b(p, digest_size=64, person=b"corpuscle-b").digest()
+        lanes = [int.from_bytes(d[8 * i : 8 * i + 8], "little") for i in range(16)]
+        exact = [(a + b) % 2**64 for a, b in zip(exact, lanes)]
+        sketch[lanes[0] & 255] += 1 - 2 * (lanes[0] >> 8 & 1)
+        for i in range(len(p) - 15):
+            x, y = (int.from_bytes(p[i + k : i + k + 8], "little") for k in (0, 8))
+            h = (x * 0x9E3779B97F4A7C15 + y * 0xC2B2AE3D27D4EB4F) % 2**64
+            h = (h ^ h >> 32) * 0xD6E8FEB86659FD93 % 2**64
+            sketch[h >> 56] += 2 * (h >> 55 & 1) - 1
+    return base64.b64encode(np.array(exact, "<u8").tobytes() + np.array(sketch, "<i4").tobytes()).decode(), np.array(sketch, float)
+
+
+def test_fingerprints_by_brute_force(spark, odd):
+    """All columns, with ties of doc_id, a null one, and repeated rows that are cut into several blocks."""
+    many = odd.union(table(spark, [(5, texts()[5])] * 40 + [(None, "x " * 50)] * 3)).repartition(7)
+    n = many.count()
+    got = fingerprints.op_fingerprints(spark, many.select("doc_id", "text")).collect()
+    assert len(got) == n
+    own = {t: brute_fingerprint(t) for t in {r.text or "" for r in odd.collect()} | {"x " * 50}}
+    pool = Counter((r.doc_id, r.text or "") for r in many.collect())
+    by_print = defaultdict(list)
+    for t, (f, _) in own.items():
+        by_print[f].append(t)
+    seen = Counter()
+    ids = sorted({d for d, _ in pool}, key=lambda d: (d is not None, d or 0))
+
+    def alike(a, b):
+        if own[a][0] == own[b][0]:
+            return 1.0
+        x, y = own[a][1], own[b][1]
+        return min(max(2 * x @ y / (x @ x + y @ y), 0), 1 - 1e-9)
+
+    for r in got:
+        mine = [t for t in by_print[r.fingerprint] if pool[r.doc_id, t]]
+        later = ids[(ids.index(r.doc_id) + 1) % len(ids)]
+        after = [t for d, t in pool if d in (r.doc_id, later)]
+        fits = [(t, f) for t in mine for f in after if len(t) == r.n_chars and hashlib.sha256(fingerprints.edited(t, f).encode()).hexdigest() == r.edited_sha256]
+        assert any(abs(alike(t, f) - r.near_next) < 1e-9 and brute_fingerprint(fingerprints.edited(t, f))[0] == r.edited_fingerprint for t, f in fits)
+        seen[r.doc_id, r.fingerprint] += 1
+    assert seen == Counter((d, own[t][0]) for (d, t), k in pool.items() for _ in range(k))
+
+
+def test_blocks_split_repeated_rows(spark):
+    rows = spark.range(60_000, numPartitions=6).select(F.lit(7).cast("long").alias("doc_id"), F.lit("same text again").alias("text"))
+    blocks = fingerprints.with_following(spark, rows).where("not tail").groupBy("b").count().collect()
+    assert len(blocks) >= 4 and max(r["count"] for r in blocks) < 2.5 * 60_000 / len(blocks)
+
+
 def test_fingerprints_odd_tables(spark, odd):
     assert fingerprints.op_fingerprints(spark, odd).count() == odd.count()
     assert fingerprints.op_fingerprints(spark, odd.limit(0)).count() == 0
@@ -105,6 +160,30 @@ def test_sharding(spark, odd):
     assert sharding.external_shuffle(spark, odd.limit(0)).count() == 0
 
 
+def test_sharding_repeated_rows(spark):
+    """Copies of one row are scattered as other rows are: no bucket takes them all."""
+    rows = spark.range(200_000, numPartitions=4).select(F.lit(7).cast("long").alias("doc_id"), F.lit("same text again").alias("text"))
+    out = sharding.external_shuffle(spark, rows, bucket_bytes=200_000)
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 1.1 * min(sizes)
+
+
+def test_sharding_totals_by_join(spark, odd, monkeypatch):
+    want = sorted(map(str, sharding.external_shuffle(spark, odd, bucket_bytes=300, n_shards=4).collect()))
+    monkeypatch.setattr(sharding, "BROADCAST_BUCKETS", 0)
+    assert sorted(map(str, sharding.external_shuffle(spark, odd, bucket_bytes=300, n_shards=4).collect())) == want
+
+
+def test_sharding_query(spark, odd, tmp_path):
+    odd.write.parquet(f"{tmp_path}/documents.parquet")
+    got = sharding.op2_two_pass_sharding(spark, str(tmp_path)).collect()
+    want = Counter((r.doc_id, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in odd.collect())
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == want
+    assert {(r.law, r.grown_shard) for r in got} == {("rows", None)}
+    for s in range(16):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+
+
 # --- 3
 
 
