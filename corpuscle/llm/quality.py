@@ -1,17 +1,21 @@
 """Quality rules with risk-controlled thresholds.
 
-Each rule rejects a text whose statistic lies above a cutoff. Cutoffs are chosen per stratum (language) from labelled
-holdouts: for a cutoff with k rejected among n good texts, the exact binomial tail P(Bin(n, a) <= k) is the p-value of
-"its false rejection rate exceeds a". Cutoffs of a rule are tested from the most lenient on and testing stops at the first
-that is not shown (fixed sequence), at level ``DELTA`` divided by the number of strata and rules (Bonferroni). So with
-probability 1 - DELTA no stratum loses more than ``ALPHA`` of its good texts to all rules together (a rule may lose
-ALPHA / number of rules). Among the cutoffs shown, the most lenient is taken that still rejects nearly all the low-quality
-texts that any of them does. A stratum with too few labelled texts to show anything keeps its texts.
-
-All labelled rows count; only counts per stratum, rule and grid step reach the driver. Strata are the ``STRATA`` most
-frequent languages, others (null too) are pooled. A base rule goes first: fewer than 20 words, or over 30 % of the words in
-8-word windows that occur twice or more. Null and empty texts have no words and fail it. Null labels are not used; a
-doc_id that is labelled twice is good only if all its labels are.
+Each rule rejects a text whose statistic lies above a cutoff. The cutoffs of a stratum (language) are chosen from its labelled
+texts in two independent parts. The first part (``TUNING`` of three) lays a path of joint cutoffs from lenient to strict: at
+each of ``STEPS`` steps every rule that tells low-quality texts apart has a cutoff, at first some multiples of the largest
+value among good texts, then falling quantiles of theirs. The second part tests the steps one after another: with k of n good
+texts rejected by any rule, the exact binomial tail P(Bin(n, ALPHA) <= k) is the p-value of "the false rejection rate exceeds
+ALPHA". Testing stops at the first step that is not shown (fixed sequence), at level ``DELTA`` divided by the number of
+strata (Bonferroni). So with probability 1 - DELTA no stratum loses more than ``ALPHA`` of its good texts to all rules
+together. Of the steps shown, the most lenient is taken that still rejects nearly all the low-quality texts that any of them
+does. A stratum with too few labelled texts to show anything keeps its texts: with s strata, log(DELTA / s) / log(1 - ALPHA)
+good texts in the second part are needed, 90 for five strata, so some 135 labelled good texts in all.
+
+Every language is a stratum, and no language (null) is one; all labelled rows count; counts and cutoffs are tables of a row
+a stratum. A base rule goes first: fewer than 20 words, or over 30 % of the words in 8-word windows that occur twice or more.
+Null and empty texts have no words and fail it. Null labels are not used; a doc_id that is labelled twice is good only if all
+its labels are. Repeated rows and rows without doc_id are judged each for itself; the latter have no label. A very long text
+is worked on whole. Columns beside doc_id, lang and text are passed on by ``keep_good``, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,23 +24,29 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Spans, Words, _U, documents, mix, slices, stored, text_buffer
+from ._common import Spans, Words, _U, documents, mix, slices, stored, text_buffer, unused
 
-ALPHA, DELTA, STRATA, NEARLY = 0.05, 0.05, 64, 0.98
+ALPHA, DELTA, NEARLY, TUNING, SEED = 0.05, 0.05, 0.98, 1, 11
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
+#: cutoffs of up to so many strata are sent to all tasks; beyond it they are joined by a shuffle
+BROADCAST_STRATA = 10_000
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_exclaims")
-#: numerator, denominator and grid of cutoffs of each rule, lenient to strict
+#: numerator, denominator and least cutoff of each rule
 RULES = {
-    "symbols": ("n_symbols", "n_words", [4 * 0.85**i for i in range(40)]),
-    "duplicate_lines": ("n_dup_lines", "n_lines", [0.95 - 0.025 * i for i in range(36)]),
-    "repeated_words": ("n_repeat_words", "n_words", [0.30 - 0.01 * i for i in range(28)]),
-    "capitals": ("n_upper", "word_chars", [0.95 - 0.025 * i for i in range(34)]),
-    "exclaims": ("n_exclaims", "n_words", [4 * 0.85**i for i in range(40)]),
-    "word_length": ("word_chars", "n_words", [60 * 0.93**i for i in range(30)]),
+    "symbols": ("n_symbols", "n_words", 0.01),
+    "duplicate_lines": ("n_dup_lines", "n_lines", 0.05),
+    "repeated_words": ("n_repeat_words", "n_words", 0.02),
+    "capitals": ("n_upper", "word_chars", 0.05),
+    "exclaims": ("n_exclaims", "n_words", 0.01),
+    "word_length": ("word_chars", "n_words", 1.0),
 }
+#: the path: multiples of the largest good value, then quantiles of good values; a rule joins if it rejects so many of bad texts
+MULTIPLES, QUANTILES, LEAST_GAIN = (4, 3, 2.5, 2, 1.75, 1.5, 1.25, 1.1, 1.0), (0.999, 0.9975, 0.995, 0.99, 0.98, 0.97, 0.95, 0.93, 0.9), 0.01
+STEPS = len(MULTIPLES) + len(QUANTILES)
 _SYMBOL, _UPPER, _BANG, _LEAD = (np.zeros(256, bool) for _ in range(4))
 _SYMBOL[list(b"#*$%&|<>")] = True
 _UPPER[65:91] = True
@@ -111,83 +121,118 @@ def ratio(rule: str):
 
 
 def tail(n: int, k: int, a: float) -> float:
-    """P(Bin(n, a) <= k), exactly summed."""
+    """P(Bin(n, a) <= k): the terms from k downwards, until they no longer count (some root of n of them)."""
     if n == 0 or k >= n:
         return 1.0
-    la, lb = math.log(a), math.log1p(-a)
-    return min(1.0, math.fsum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * la + (n - i) * lb) for i in range(k + 1)))
+    term = math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(a) + (n - k) * math.log1p(-a))
+    total, i = term, k
+    while i > 0 and (term > 1e-18 * total or i > a * n):
+        term *= i * (1 - a) / ((n - i + 1) * a)
+        total += term
+        i -= 1
+    return min(1.0, total)
 
 
-def choose(grid: list[float], good: np.ndarray, bad: np.ndarray, alpha: float, delta: float) -> float:
-    """The cutoff for one stratum and rule; good[i], bad[i]: texts above exactly the first i grid steps that are met."""
+def choose(good: np.ndarray, bad: np.ndarray, alpha: float, delta: float) -> int | None:
+    """The step to use, None if none is shown; good[i], bad[i]: texts that step i is the first to reject, last: none does."""
     n = int(good.sum())
-    # rejected at cutoff i: texts that lie above it, so have met more than i of the lenient-to-strict steps from the end
-    rejected_good, rejected_bad = np.cumsum(good), np.cumsum(bad)
+    rejected_good, rejected_bad = np.cumsum(good[:-1]), np.cumsum(bad[:-1])
     shown = -1
-    for i in range(len(grid)):
-        k = int(rejected_good[i])
+    for i, k in enumerate(rejected_good.tolist()):
         if k > alpha * n or tail(n, k, alpha) > delta:
             break
         shown = i
     if shown < 0 or not rejected_bad[shown]:
-        return math.inf
-    return grid[int(np.argmax(rejected_bad[: shown + 1] >= NEARLY * rejected_bad[shown]))]
+        return None
+    return int(np.argmax(rejected_bad[: shown + 1] >= NEARLY * rejected_bad[shown]))
 
 
-def calibrate(spark: SparkSession, table: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> dict[str | None, dict[str, float]]:
-    """Cutoffs by stratum and rule; None: the pooled stratum. table: what ``stats`` gives."""
-    top = [r.lang for r in table.where("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(STRATA).collect()]
-    marks = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    rows = table.where(~base_failed(F.col("n_words"), F.col("n_repeat_words"))).join(marks, "doc_id")
-    stratum = F.when(F.col("lang").isin(top), F.col("lang")) if top else F.lit(None).cast("string")
+def stratum():
+    return F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("none"))
 
-    # the place of the first (most lenient) cutoff that a text lies above
-    def above(rule: str):
-        return lambda t: t >= ratio(rule)
 
-    firsts = F.array(*[F.size(F.filter(F.array(*[F.lit(t) for t in g]), above(rule))) for rule, (_, _, g) in RULES.items()])
-    counts = rows.select(stratum.alias("stratum"), "quality", F.posexplode(firsts).alias("rule", "at")).groupBy("stratum", "rule", "at", "quality").count().collect()
-    names = list(RULES)
-    grids = {(s, r): np.zeros((2, len(RULES[r][2]) + 1), np.int64) for s in [*top, None] for r in names}
-    for x in counts:
-        grids[x.stratum, names[x.rule]][int(x.quality > 0), x["at"]] += x["count"]
-    strata = [*top, None]
-    return {s: {r: choose(RULES[r][2], grids[s, r][1], grids[s, r][0], alpha / len(names), delta / (len(strata) * len(names))) for r in names} for s in strata}
+def paths(tuning: DataFrame) -> DataFrame:
+    """stratum and, for each rule, its cutoffs step by step (null: the rule takes no part); tuning: stratum, quality, rules."""
+    good, bad = F.col("quality") > 0, F.col("quality") <= 0
+    value = {r: F.when(good, F.col(r)) for r in RULES}
+    top = tuning.groupBy("stratum").agg(*[F.max(value[r]).alias(f"max_{r}") for r in RULES], *[F.percentile_approx(value[r], list(QUANTILES), 10_000).alias(f"q_{r}") for r in RULES])
+    level = {r: F.greatest(F.col(f"max_{r}"), F.lit(least)) for r, (_, _, least) in RULES.items()}
+    gains = tuning.where(bad).join(top, "stratum").groupBy("stratum").agg(*[F.avg((F.col(r) > level[r]).cast("int")).alias(f"gain_{r}") for r in RULES])
 
+    def path(r: str):
+        steps = F.concat(F.array(*[level[r] * m for m in MULTIPLES]), F.transform(F.col(f"q_{r}"), lambda q: F.least(level[r], F.greatest(q, F.lit(RULES[r][2])))))
+        return F.when(F.col(f"gain_{r}") >= LEAST_GAIN, steps).alias(r)
 
-def verdicts(langs: list, s: np.ndarray, cutoffs: dict) -> tuple[np.ndarray, np.ndarray]:
-    """base_failed and kept of texts with statistics ``s``."""
-    failed = base_failed(s[:, 0], s[:, 4])
-    kept = ~failed
-    which = [c if c in cutoffs else None for c in langs]
-    for k, (rule, (a, b, _)) in enumerate(RULES.items()):
-        value = s[:, STATS.index(a)] / np.maximum(s[:, STATS.index(b)], 1)
-        kept &= value <= np.array([cutoffs[c][rule] for c in which], float)
-    return failed, kept
+    return top.join(gains, "stratum").select("stratum", *[path(r) for r in RULES])
+
+
+def _choose_rows(alpha: float, delta: float):
+    def run(it):
+        for b in it:
+            step = []
+            for counts in b.column("counts").to_pylist():
+                table = np.zeros((2, STEPS + 1), np.int64)
+                for c in counts:
+                    table[int(c["good"]), c["at"]] += c["n"]
+                step.append(choose(table[1], table[0], alpha, delta))
+            yield pa.RecordBatch.from_arrays([b.column("stratum"), pa.array(step, pa.int32())], names=["stratum", "step"])
+
+    return run
+
+
+def calibrate(spark: SparkSession, table: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """stratum and a cutoff for each rule (null: none), for strata with any; table: what ``stats`` gives."""
+    marks = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
+    rows = table.where(~base_failed(F.col("n_words"), F.col("n_repeat_words"))).join(marks, "doc_id")
+    rows = stored(spark, rows.select(stratum().alias("stratum"), "quality", (F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(3)) < TUNING).alias("tuning"), *[ratio(r).alias(r) for r in RULES]), "labelled")
+    strata = rows.select("stratum").distinct().count()
+    path = stored(spark, paths(rows.where("tuning").drop("tuning")), "paths")
+    holdout = rows.where("not tuning").join(path.select("stratum", *[F.col(r).alias(f"path_{r}") for r in RULES]), "stratum")
+    # the first step at which a rule rejects: cutoffs fall, so as many as a text does not lie above
+    firsts = [F.coalesce(F.size(F.filter(F.col(f"path_{r}"), (lambda r: lambda c: F.col(r) <= c)(r))), F.lit(STEPS)) for r in RULES]
+    firsts = [F.when(F.col(f"path_{r}").isNull(), STEPS).otherwise(x) for r, x in zip(RULES, firsts)]
+    counts = holdout.groupBy("stratum", (F.col("quality") > 0).alias("good"), F.least(*firsts).alias("at")).agg(F.count(F.lit(1)).alias("n"))
+    steps = counts.groupBy("stratum").agg(F.collect_list(F.struct("good", "at", "n")).alias("counts")).mapInArrow(_choose_rows(alpha, delta / max(1, strata)), "stratum string, step int")
+    found = steps.where("step is not null").join(path, "stratum")
+    return stored(spark, found.select("stratum", *[F.element_at(r, F.col("step") + 1).alias(f"c_{r}") for r in RULES]), "cutoffs")
+
+
+def with_verdict(table: DataFrame, cutoffs: DataFrame, name: str) -> DataFrame:
+    """``table`` (statistics and lang) with whether the rules keep a text; ``BROADCAST_STRATA`` bounds what is sent to all."""
+    cut = F.broadcast(cutoffs) if cutoffs.count() <= BROADCAST_STRATA else cutoffs
+    kept = ~base_failed(F.col("n_words"), F.col("n_repeat_words"))
+    for r in RULES:
+        kept &= F.coalesce(ratio(r) <= F.col(f"c_{r}"), F.lit(True))
+    return table.withColumn("stratum", stratum()).join(cut, "stratum", "left").withColumn(name, kept)
 
 
 def judge(spark: SparkSession, df: DataFrame, labels: DataFrame) -> DataFrame:
     """The statistics of every document, whether it fails the base rule and whether it is kept."""
     table = stored(spark, stats(df), "quality")
-    cutoffs = calibrate(spark, table, labels)
     failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
-    cut = spark.createDataFrame([(s, *c.values()) for s, c in cutoffs.items() if s is not None] or [(None, *cutoffs[None].values())], "stratum string, " + ", ".join(f"c_{r} double" for r in RULES))
-    joined = table.join(F.broadcast(cut), F.col("lang") == F.col("stratum"), "left")  # STRATA rows at most
-    kept = ~failed
-    for r in RULES:
-        kept &= ratio(r) <= F.coalesce(F.col(f"c_{r}"), F.lit(cutoffs[None][r]))
-    return joined.select("doc_id", *STATS[:5], failed.alias("base_failed"), kept.alias("kept"))
+    return with_verdict(table, calibrate(spark, table, labels), "kept").select("doc_id", *STATS[:5], failed.alias("base_failed"), "kept")
 
 
 def keep_good(spark: SparkSession, df: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are kept, with all their columns."""
+    (own,) = unused(df, 1)
     cutoffs = calibrate(spark, stored(spark, stats(df), "quality"), labels)
 
     def run(it):
         for batch in it:
-            yield batch.filter(pa.array(verdicts(batch.column("lang").to_pylist(), text_stats(batch.column("text")), cutoffs)[1]))
-
-    return df.mapInArrow(run, df.schema)
+            s = text_stats(batch.column("text"))
+            keep = ~base_failed(s[:, 0], s[:, 4])
+            cut = batch.column(own)
+            for r, (a, b, _) in RULES.items():
+                limit = pc.fill_null(pc.struct_field(cut, f"c_{r}"), math.inf).to_numpy(zero_copy_only=False) if cut.null_count < len(cut) else np.full(len(cut), math.inf)
+                keep &= s[:, STATS.index(a)] / np.maximum(s[:, STATS.index(b)], 1) <= limit
+            yield batch.drop_columns([own]).filter(pa.array(keep))
+
+    row = F.struct(*[F.col(f"c_{r}") for r in RULES]).alias(own)
+    cut = cutoffs.select(F.col("stratum").alias("own_stratum"), row)
+    cut = F.broadcast(cut) if cutoffs.count() <= BROADCAST_STRATA else cut
+    joined = df.join(cut, stratum() == F.col("own_stratum"), "left").select(*[df[c] for c in df.columns], own)
+    return joined.mapInArrow(run, df.schema)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -549,13 +549,21 @@ def test_binomial_cutoffs():
     from fractions import Fraction
     from math import comb
 
-    a = Fraction(1, 50)
-    exact = sum(comb(300, i) * a**i * (1 - a) ** (300 - i) for i in range(3))
-    assert abs(quality.tail(300, 2, 0.02) - float(exact)) < 1e-12
-    grid = [3.0, 2.0, 1.0]
-    assert quality.choose(grid, np.array([0, 0, 0, 40]), np.array([9, 0, 0, 0]), 0.02, 0.01) == float("inf")  # too few to show
-    assert quality.choose(grid, np.array([0, 0, 0, 4000]), np.array([9, 0, 0, 0]), 0.02, 0.01) == 3.0
-    assert quality.choose(grid, np.array([0, 0, 900, 4000]), np.array([5, 5, 90, 0]), 0.02, 0.01) == 2.0
+    for n, k, a in ((300, 2, Fraction(1, 50)), (300, 20, Fraction(1, 50)), (1000, 44, Fraction(1, 20)), (90, 0, Fraction(1, 20))):
+        exact = sum(comb(n, i) * a**i * (1 - a) ** (n - i) for i in range(k + 1))
+        assert abs(quality.tail(n, k, float(a)) / float(exact) - 1) < 1e-9
+    assert 0 < quality.tail(10**7, 499_000, 0.05) < 0.1
+    assert quality.choose(np.array([0, 0, 0, 40]), np.array([9, 0, 0, 0]), 0.02, 0.01) is None  # too few to show
+    assert quality.choose(np.array([0, 0, 0, 4000]), np.array([9, 0, 0, 0]), 0.02, 0.01) == 0
+    assert quality.choose(np.array([0, 0, 900, 4000]), np.array([5, 5, 90, 0]), 0.02, 0.01) == 1
+
+
+def test_cutoffs_of_every_language(spark):
+    """On sf0.1, cutoffs are shown in all four languages, reject nearly all low-quality texts and hardly any good ones."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = quality.judge(spark, docs, labels).where("not base_failed").join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id")
+    for r in got.groupBy("lang", "quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect():
+        assert r.kept >= 0.95 if r.quality else r.kept <= 0.1
 
 
 # --- 9
