@@ -72,6 +72,21 @@ def numbered(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return df.select("*", F.xxhash64(F.regexp_extract("_metadata.file_name", r"^\D*\d*", 0), F.col("_metadata.row_index")).alias(name))
 
 
+def most_frequent(spark: SparkSession, counts: DataFrame, n: str, most: int) -> DataFrame:
+    """The rows of ``counts`` with the largest ``n``, ``most`` at most: those of the highest eighths of a doubling that fit.
+
+    The driver gets how many rows each eighth has, so it never sees more than ``most`` rows from all tasks together.
+    """
+    counts = stored(spark, counts.withColumn("eighth", F.floor(8 * F.log2(n)).cast("int")), "counts")
+    least, total = None, 0
+    for r in sorted(counts.groupBy("eighth").count().collect(), reverse=True):
+        total += r["count"]
+        if total > most:
+            break
+        least = r.eighth
+    return counts.where(F.lit(False) if least is None else F.col("eighth") >= least).drop("eighth")
+
+
 # --- numpy over Arrow buffers -------------------------------------------------------------------------------------
 
 
@@ -207,15 +222,16 @@ def components(spark: SparkSession, edges: DataFrame, name: str = "components")
     """(node, root) of every node in ``edges`` (a, b: any orderable type), root the smallest node of its component.
 
     Alternating large-star and small-star steps; each round's edges are a written table, so a lost executor repeats one
-    round at most. Nothing but a changed flag reaches the driver.
+    round at most. Nothing but a changed flag reaches the driver. Least neighbours are written before they are joined, so
+    that both sides of a join are dealt for it and Spark splits the node that very many others hang on.
     """
     e = stored(spark, edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = stored(spark, both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), name)
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = stored(spark, large.where("u <> v").distinct(), name)
+        low = stored(spark, large.groupBy("u").agg(F.min("v").alias("m")), name)
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = stored(spark, small.union(low.select("u", F.col("m").alias("v"))).distinct(), name)
         # a star forest: no node is both a leaf and a root

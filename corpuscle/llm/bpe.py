@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import _bytes_pow as byte_powers
-from ._common import documents, id_and_text, mix, ragged, slices, stored, text_buffer, work_dir
+from ._common import documents, id_and_text, mix, most_frequent, ragged, slices, text_buffer, work_dir
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 LEXICON_WORDS, LOCAL_WORDS, MEMO_WORDS, LONG_WORD = 100_000, 60_000, 2_000_000, 64
@@ -718,11 +718,7 @@ def text_lots(batch: pa.RecordBatch, most: int = LOT_BYTES):
 
 
 def frequent_words(spark: SparkSession, df: DataFrame, path: str, most: int = LEXICON_WORDS, local: int = LOCAL_WORDS) -> dict[bytes, bytes]:
-    """The most frequent pretokens of all texts with their ids; ``most`` bounds what the driver gets.
-
-    The driver first gets how many words there are by order of count (an eighth of a doubling each), and then only the words
-    of the highest orders that together are ``most`` at most.
-    """
+    """The most frequent pretokens of all texts with their ids; ``most`` bounds what the driver gets."""
 
     def count(it):
         enc, counts = Encoder.of(path), Counter()
@@ -740,16 +736,7 @@ def frequent_words(spark: SparkSession, df: DataFrame, path: str, most: int = LE
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top[k : k + 10_000]], pa.binary()), pa.array([c for _, c in top[k : k + 10_000]], pa.int64())], names=["word", "n"])
 
     counted = df.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counted = stored(spark, counted.withColumn("order", F.floor(8 * F.log2("n")).cast("int")), "words")
-    least, total = None, 0
-    for r in sorted(counted.groupBy("order").count().collect(), reverse=True):
-        total += r["count"]
-        if total > most:
-            break
-        least = r.order
-    if least is None:
-        return {}
-    words = [bytes(r.word) for r in counted.where(F.col("order") >= least).select("word").collect()]
+    words = [bytes(r.word) for r in most_frequent(spark, counted, "n", most).select("word").collect()]
     flat, off = flat_bytes(pa.array(words, pa.large_binary()))
     ids, n = Encoder.of(path).learn(flat, off[:-1], np.diff(off))
     ends = np.cumsum(n)

@@ -18,7 +18,9 @@ by a hash of their own for each order. A pair is a candidate only if its prefixe
 
 Groups that another one contains are left out. Every candidate pair is in the group of some pivot, so no link is lost and nothing is capped. Null and empty texts, and
 texts without words, have the empty set, link with nothing and are their own component. A null doc_id takes part as any
-other; a component's id is its smallest doc_id that is not null. Repeated rows are rows of one class.
+other; a component's id is its smallest doc_id that is not null. Repeated rows are rows of one class. A very long text is
+worked on whole. Columns beside doc_id and text are passed on by ``keep_one``, whatever their names. Sets are known by 64
+bits of hash, shingles too: among 10**9 different sets some 0.03 false merges are to be expected.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Spans, Words, _U, components, documents, mix, parallelism, signed, slices, stored, text_buffer
+from ._common import Spans, Words, _U, components, documents, mix, most_frequent, numbered, parallelism, signed, slices, stored, text_buffer, unused
 
 N, SHARE, OF = 5, 75, 100
 ORDERS = (0, 0x5851F42D4C957F2D, 0x14057B7EF767814F)
@@ -148,19 +150,25 @@ def _tokens(hot):
                         found.append((c, len(s) << 32 | low, dealt))
                 if found:
                     size = [len(p) for *_, p in found]
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate([p for *_, p in found]))), pa.array(np.repeat([c for c, *_ in found], size)), pa.array(np.repeat([n for _, n, _ in found], size))], names=["token", "cls", "nt"])
+                    token = np.concatenate([p for *_, p in found])
+                    late = np.isin(token, hot_tokens)
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(token)), pa.array(np.repeat([c for c, *_ in found], size)), pa.array(np.repeat([n for _, n, _ in found], size)), pa.array(late)], names=["token", "cls", "nt", "late"])
 
     return run
 
 
 def _shared(it):
-    """Of rows sorted by token and cls, those whose token another class has too, each once: (token, cls, n, low, sampled)."""
+    """Of rows sorted by token and cls, those whose token is late or another class has too, each once.
+
+    (token, cls, n, low, sampled, late)
+    """
     last, held, held_same = None, None, False  # the last row seen; the last one not given out, and if its token came before
 
     def out(rows):
         nt, token = rows.column("nt").to_numpy(), rows.column("token")
         low = token.to_numpy().view(np.uint64) <= THRESHOLD
-        return pa.RecordBatch.from_arrays([token, rows.column("cls"), pa.array((nt >> 32).astype(np.int32)), pa.array(low), pa.array((nt & 0xFFFFFFFF).astype(np.int32))], names=["token", "cls", "n", "low", "sampled"])
+        late = rows.column("late").to_numpy(zero_copy_only=False)
+        return pa.RecordBatch.from_arrays([token, rows.column("cls"), pa.array((nt >> 32).astype(np.int32)), pa.array(low & ~late), pa.array((nt & 0xFFFFFFFF).astype(np.int32)), rows.column("late")], names=["token", "cls", "n", "low", "sampled", "late"])
 
     for b in it:
         if not b.num_rows:
@@ -176,10 +184,10 @@ def _shared(it):
         t = b.column("token").to_numpy()
         same = np.concatenate(([held_same], t[1:] == t[:-1]))
         held, held_same = b.slice(b.num_rows - 1), bool(same[-1])
-        keep = np.flatnonzero(same[:-1] | same[1:])
+        keep = np.flatnonzero(same[:-1] | same[1:] | b.column("late").to_numpy(zero_copy_only=False)[:-1])
         if len(keep):
             yield out(b.take(pa.array(keep)))
-    if held is not None and held_same:
+    if held is not None and (held_same or held.column("late")[0].as_py()):
         yield out(held)
 
 
@@ -369,8 +377,22 @@ def without_unshared(shared: DataFrame) -> DataFrame:
     own = shared.groupBy("cls").agg(F.first("n").alias("n"), F.first("sampled").alias("sampled"), F.count_if("low").alias("met"))
     may = own.where(f"sampled - met <= n - ceil({SHARE} * n / {OF})").select("cls")
     left = shared.join(may, "cls", "left_semi")
-    more = left.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token")
-    return left.join(more, "token", "left_semi")
+    early = left.where("not late")
+    more = early.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token")
+    return early.join(more, "token", "left_semi").unionByName(left.where("late"))
+
+
+def late_pairs(spark: SparkSession, late: DataFrame) -> DataFrame:
+    """(pivot, cls, n) of the tokens that the orders put last, which a large share of all classes may have.
+
+    Pivots are least classes by token and band, summed up before they are dealt (bands x ``HOT_TOKENS`` rows at most), and
+    the rows of a frequent token meet its pivots in a join that Spark splits.
+    """
+    width = f"floor(ln(n) / ln({OF} / {SHARE}) + 1e-9)"
+    late = late.select("token", "cls", "n", F.expr(width).cast("int").alias("band"))
+    least = stored(spark, late.groupBy("token", "band").agg(F.min("cls").alias("piv")), "pivots")
+    both = least.union(least.select("token", F.col("band") + 1, "piv"))
+    return late.join(both, ["token", "band"]).where("cls <> piv").select("piv", "cls", "n")
 
 
 def without_contained(spark: SparkSession, pairs: DataFrame) -> DataFrame:
@@ -400,18 +422,22 @@ def classes_of(spark: SparkSession, df: DataFrame) -> tuple[DataFrame, DataFrame
     rows = survey.where("kind = 0").select(F.col("a").alias("doc_id"), "t", F.col("b").alias("cls"), "n")
     counts = survey.where("kind = 1").groupBy("a").agg(F.sum("b").alias("times"))
     least = max(2 * LOCAL_LEAST, rows.count() // HOT_SHARE)
-    top = counts.where(F.col("times") >= least).orderBy(F.desc("times"), "a").limit(HOT_TOKENS).collect()  # 16 bytes each
+    top = most_frequent(spark, counts.where(F.col("times") >= least), "times", HOT_TOKENS).collect()  # 16 bytes each
+    top.sort(key=lambda r: (-r.times, r.a))
     token = np.array([r.a for r in top], np.int64).view(np.uint64)
     order = np.argsort(token)
     rank = (len(top) - np.arange(len(top)))[order]  # rarest first
     hot = spark.sparkContext.broadcast((token[order], rank))
 
-    dealt = docs.select("text").mapInArrow(_tokens(hot), "token long, cls long, nt long").repartition(wide, "token").sortWithinPartitions("token", "cls")
-    shared = stored(spark, dealt.mapInArrow(_shared, "token long, cls long, n int, low boolean, sampled int"), "shared")
+    # late tokens are dealt by class too: that other classes have them is known
+    dealt = docs.select("text").mapInArrow(_tokens(hot), "token long, cls long, nt long, late boolean").repartition(wide, "token", F.when(F.col("late"), F.col("cls"))).sortWithinPartitions("token", "cls")
+    shared = stored(spark, dealt.mapInArrow(_shared, "token long, cls long, n int, low boolean, sampled int, late boolean"), "shared")
     for _ in range(PEELS):
         shared = without_unshared(shared)
-    shared = shared.select("token", "cls", "n").repartition(wide, "token").sortWithinPartitions("token", "n", "cls")
-    pairs = stored(spark, shared.mapInArrow(_pivots, "piv long, cls long, n int").groupBy("piv", "cls").agg(F.first("n").alias("n")), "candidates")
+    shared = shared.select("token", "cls", "n", "late")
+    early = shared.where("not late").drop("late").repartition(wide, "token").sortWithinPartitions("token", "n", "cls")
+    both = early.mapInArrow(_pivots, "piv long, cls long, n int").union(late_pairs(spark, shared.where("late")))
+    pairs = stored(spark, both.groupBy("piv", "cls").agg(F.first("n").alias("n")), "candidates")
     pairs = stored(spark, without_contained(spark, pairs), "groups")
 
     # one text of each class that has a candidate
@@ -459,17 +485,19 @@ def keep_one(spark: SparkSession, df: DataFrame) -> DataFrame:
     rows, found = classes_of(spark, df)
     own = rows.where("n > 0").join(found, "cls").withColumn("same", F.col("doc_id").eqNullSafe(F.col("component")))
     # rows of the component's doc_id; of rows that repeat it, one
-    winner = own.where("same").groupBy("component").agg(F.min("t").alias("t"), F.count(F.lit(1)).alias("copies"))
+    winner = stored(spark, own.where("same").groupBy("component").agg(F.min("t").alias("t"), F.count(F.lit(1)).alias("copies")), "winners")
     lost = own.join(winner.select(F.col("component").alias("w"), F.col("t").alias("wt"), "copies"), F.col("component").eqNullSafe(F.col("w")))
-    gone = lost.where("not same or t <> wt").select(F.col("doc_id").alias("__gone"), F.col("t").alias("__gone_t")).distinct()
-    kept = df.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__gone")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__gone_t")), "left_anti")
+    # rows that repeat a document are dealt apart from it: what goes is a set of (doc_id, text hash)
+    g, gt, place = unused(df, 3)
+    gone = lost.where("not same or t <> wt").select(F.col("doc_id").alias(g), F.col("t").alias(gt)).distinct()
+    kept = df.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(g)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(gt)), "left_anti")
     if winner.where("copies > 1").limit(1).count():
-        # repeated rows of one doc_id: one of those of the chosen text
-        from pyspark.sql import Window as W
-
-        place = F.row_number().over(W.partitionBy("doc_id", F.xxhash64(F.coalesce("text", F.lit("")))).orderBy(F.lit(1)))
+        # repeated rows of one doc_id: one of those of the chosen text, by least row number, which is found before rows meet
+        key = [F.col("doc_id").cast("long").alias("d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("dt")]
+        kept = numbered(spark, stored(spark, kept, "kept"), place)
+        least = kept.groupBy(*key).agg(F.min(place).alias("least")).select("least").distinct()
         blank = ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-        kept = kept.withColumn("__place", place).where((F.col("__place") == 1) | blank).drop("__place")
+        kept = kept.join(least, F.col(place) == F.col("least"), "left").where(F.col("least").isNotNull() | blank).drop(place, "least")
     return kept
 
 
