@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..sources.storage import shared_folder
 
 # fixed values: extensions and index files that an import may leave out, in order
 EXTENSIONS = "rs py ts tsx mts cts js jsx mjs cjs go java rb php zig c h cpp hpp cc hh cxx hxx".split()
@@ -178,6 +179,10 @@ def resolve(files: DataFrame, imports: DataFrame) -> tuple[DataFrame, DataFrame]
     return edges, lost.select("path", F.col("import_text").alias("import"), F.col("line").alias("line_start")).distinct()
 
 
+def unresolved_in_order(lost: DataFrame) -> DataFrame:
+    return lost.orderBy("path", F.col("line_start").asc_nulls_first(), "import")
+
+
 def depends_on(edges: DataFrame, path: str) -> DataFrame:
     return edges.where(F.col("src") == path).select(F.col("dst").alias("path")).distinct().orderBy("path")
 
@@ -186,10 +191,27 @@ def imported_by(edges: DataFrame, path: str) -> DataFrame:
     return edges.where(F.col("dst") == path).select(F.col("src").alias("path")).distinct().orderBy("path")
 
 
+def trace(spark: SparkSession, edges: DataFrame, lost: DataFrame, path: str, direction: str = "imported_by", transitively: bool = False) -> DataFrame:
+    """(path, relation, depth) of a file's dependencies: files by distance (1 if direct), and, in direction depends_on,
+    its unresolved imports without distance."""
+    if direction not in ("imported_by", "depends_on"):
+        raise ValueError(f"direction: {direction}")
+    reverse = direction == "imported_by"
+    if transitively:
+        rows = transitive(spark, edges, path, reverse)
+    else:
+        rows = (imported_by if reverse else depends_on)(edges, path).withColumn("depth", F.lit(1))
+    rows = rows.select("path", F.lit(direction).alias("relation"), "depth")
+    if reverse:
+        return rows
+    return rows.union(lost.where(F.col("path") == path).select(F.col("import"), F.lit("unresolved"), F.lit(None).cast("int")).distinct())
+
+
 def transitive(spark: SparkSession, edges: DataFrame, path: str, reverse: bool = False, stored=None) -> DataFrame:
     """Files reachable from a file (or that reach it), itself aside, with their distance; safe on cycles.
 
-    A frontier at a time; each frontier and the visited set are checkpointed, so the lineage stays short.
+    A frontier at a time; each frontier is checkpointed once and the visited files are the frontiers so far, so no round
+    writes what an earlier one did.
     """
     a, b = ("dst", "src") if reverse else ("src", "dst")
     e = edges.select(F.col(a).alias("path"), F.col(b).alias("next")).distinct()
@@ -202,17 +224,14 @@ def transitive(spark: SparkSession, edges: DataFrame, path: str, reverse: bool =
         front = keep(front.join(e, "path").select(F.col("next").alias("path")).distinct().join(seen, "path", "left_anti").withColumn("depth", F.lit(depth)))
         if not front.limit(1).count():
             return seen.where("depth > 0").orderBy("depth", "path")
-        seen = keep(seen.union(front))
+        seen = seen.union(front)
 
 
 def _checkpoint(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder of spark.checkpoint.dir; tests without one use a local folder."""
+    """Cut the lineage in the shared folder of spark.checkpoint.dir; a local master without one uses a local folder."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        import os
-        import tempfile
-
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "corpuscle-checkpoints"))
+        sc.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 

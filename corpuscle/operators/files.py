@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from ..functions import globs
 from ..sources.adapters import file_table, line_table
+from ..sources.project import content_hashes
 
 LIMIT = 200
 
@@ -74,10 +75,54 @@ def read_compact(files: DataFrame) -> DataFrame:
     return files.select("path", F.array_join(kept, "\n").alias("text"), F.size(kept).alias("lines"))
 
 
+def stub(path, byte_size):
+    """What a read of a file without text says."""
+    return F.concat(F.lit("["), path, F.lit(": not indexed, "), byte_size.cast("string"), F.lit(" bytes]"))
+
+
+def read(files: DataFrame, paths: DataFrame, if_hash: str | None = None, first: int | None = None, last: int | None = None, compact: bool = False) -> DataFrame:
+    """path, text, hash, unchanged of some files; files: path, content (null: not indexed) and byte_size.
+
+    The hash is always that of the whole file. Where it equals ``if_hash``, whatever its case, the text is empty and
+    ``unchanged`` true. A file without content gives a stub of text and no hash.
+    """
+    f = files.join(paths.select("path").distinct(), "path", "left_semi")
+    lines, lang = X.lines(F.col("content")), X.language(F.col("path"))
+    if first is not None or last is not None:
+        begin = max(first or 1, 1)
+        size = F.lit(2**31 - 1) if last is None else F.lit(max(last - begin + 1, 0))
+        lines = F.slice(lines, F.lit(begin), size)
+    if compact:
+        lines = F.filter(lines, lambda x: ~X.is_comment_or_blank(x, lang))
+    whole = first is None and last is None and not compact
+    text = F.col("content") if whole else F.array_join(lines, "\n")
+    h = F.when(F.col("content").isNotNull(), content_hashes(F.coalesce("content", F.lit(""))))
+    out = f.withColumn("hash", h)
+    same = F.coalesce(F.col("hash") == F.lit((if_hash or "").lower()), F.lit(False))
+    return out.select("path", F.when(F.col("content").isNull(), stub(F.col("path"), F.col("byte_size"))).when(same, "").otherwise(text).alias("text"), "hash", same.alias("unchanged"))
+
+
 def line(files: DataFrame, path: str, number: int) -> DataFrame:
     return line_table(files.where(F.col("path") == path)).where(F.col("line_num") == number)
 
 
+def file_map(files: DataFrame) -> DataFrame:
+    """All files with their metadata, by path."""
+    return file_table(files).select("path", "language", "line_count", "byte_size").orderBy("path")
+
+
+def outline_answer(files: DataFrame, symbols: DataFrame, lost: DataFrame, path: str) -> DataFrame:
+    """One row for a file: language, counts, imports, unresolved imports, and its symbols in order without the imports."""
+    f = file_table(files.where(F.col("path") == path)).select("path", "language", "line_count", "byte_size")
+    s = symbols.where(F.col("path") == path)
+    own = s.agg(
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "import", F.struct("ord", "name")))), lambda x: x["name"]).alias("imports"),
+        F.array_sort(F.collect_list(F.when(F.col("kind") != "import", F.struct("ord", "line_start", "line_end", "kind", "name", "detail")))).alias("symbols"),
+    )
+    gone = lost.where(F.col("path") == path).agg(F.sort_array(F.collect_set("import")).alias("unresolved"))
+    return f.crossJoin(F.broadcast(own)).crossJoin(F.broadcast(gone)).withColumn("symbol_count", F.size("symbols"))  # one row each
+
+
 def fuzzy_paths(files: DataFrame, query: str, limit: int = 20) -> DataFrame:
     """Paths by fuzzy score: of the file name with 10 more, else of the whole path."""
     q = query.lower()

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import audit, changes, context, deps, files, metrics, outline, search
+from .operators import audit, changes, context, deps, files, index, metrics, outline, search
 from .plans import output, pipe
 from .sources import adapters as A
+from .sources import project
+from .sources.storage import work_dir
 from .streaming import watch
 
 QUERIES: dict = {}
@@ -51,12 +53,17 @@ names AS (SELECT 'region_' || r_regionkey AS name, {_k("region", "r_regionkey")}
   UNION ALL SELECT 'nation_' || n_nationkey, {_k("nation", "n_nationkey")}, 2 FROM nation
   UNION ALL SELECT 'supplier_' || s_suppkey, {_k("supplier", "s_suppkey")}, 2 FROM supplier
   UNION ALL SELECT 'customer_' || c_custkey, {_k("customer", "c_custkey")}, 2 FROM customer
-  UNION ALL SELECT 'orders_' || o_orderkey, {_k("orders", "o_orderkey")}, 2 FROM orders),
+  UNION ALL SELECT 'orders_' || o_orderkey, {_k("orders", "o_orderkey")}, 2 FROM orders
+  UNION ALL SELECT 'part_' || p_partkey, {_k("part", "p_partkey")}, 1 FROM part),
 fan AS (SELECT path, coalesce(fan_in, 0) AS fan_in, coalesce(fan_out, 0) AS fan_out FROM (SELECT dst AS path, count(*) AS fan_in FROM e GROUP BY 1) FULL JOIN (SELECT src AS path, count(*) AS fan_out FROM e GROUP BY 1) USING (path)),
 hot AS (SELECT path, fan_in || '/' || fan_out AS detail, 'dependency.hotspot' AS rule, CASE WHEN fan_in >= 40 OR fan_out >= 50 THEN 'high' ELSE 'warning' END AS severity,
   CASE WHEN fan_in >= 40 OR fan_out >= 50 THEN 'actionable' ELSE 'risk_note' END AS actionability FROM fan WHERE fan_in >= 15 OR fan_out >= 20),
-dead AS (SELECT path, name AS detail, 'dead_code.candidate' AS rule, 'warning' AS severity, 'risk_note' AS actionability, line_start FROM names WHERE path NOT IN (SELECT dst FROM e)),
-findings AS (SELECT path, rule, severity, actionability, detail, CAST(NULL AS INTEGER) AS line_start FROM hot UNION ALL SELECT path, rule, severity, actionability, detail, line_start FROM dead)
+dead AS (SELECT path, name AS detail, 'dead_code.candidate' AS rule, 'warning' AS severity, 'candidate' AS actionability, line_start FROM names WHERE path NOT IN (SELECT dst FROM e)),
+findings AS (SELECT 'dependency.hotspot:' || path AS id, path, rule, severity, actionability, detail, CAST(NULL AS INTEGER) AS line_start FROM hot
+  UNION ALL SELECT 'dead_code.candidate:' || path || ':' || line_start || ':' || detail, path, rule, severity, actionability, detail, line_start FROM dead),
+o AS (SELECT *, CASE actionability WHEN 'actionable' THEN 0 WHEN 'candidate' THEN 1 WHEN 'risk_note' THEN 2 ELSE 3 END AS arank, CASE severity WHEN 'high' THEN 0 ELSE 1 END AS srank,
+  min(CASE actionability WHEN 'actionable' THEN 0 ELSE 1 END) OVER (PARTITION BY path) = 0 AND actionability <> 'actionable' AS secondary FROM findings),
+placed AS (SELECT *, row_number() OVER (ORDER BY secondary, arank, srank, path, line_start NULLS FIRST, rule, id) AS place FROM o)
 """
 
 
@@ -121,7 +128,7 @@ def status_counts(spark, d):
     return files.status(_docs(spark, d))
 
 
-@query(DOCS + "SELECT path, language, line_num, line_text FROM l WHERE path LIKE 'lib/%'")
+@query(DOCS + "SELECT path, language, line_num, line_text FROM l")
 def lines_explode(spark, d):
     return A.line_table(_docs(spark, d))
 
@@ -144,7 +151,20 @@ def read_compact(spark, d):
     return files.read_compact(_docs(spark, d))
 
 
-@query()
+def _fuzzy(q: str) -> str:
+    """Fuzzy scores of all paths, a character at a time: of the file name with 10 more, else of the whole path."""
+    hit = f"(met < {len(q)} AND substr(t, i + 1, 1) = substr('{q}', met + 1, 1))"
+    return (
+        DOCS.replace("WITH f", "WITH RECURSIVE f", 1)
+        + f""", z AS (SELECT path, whole, t, 0 AS i, 0 AS met, 0 AS run, 0 AS score, '/' AS before FROM (SELECT path, true AS whole, lower(path) AS t FROM f UNION ALL SELECT path, false, split_part(lower(path), '/', -1) FROM f)
+  UNION ALL SELECT path, whole, t, i + 1, met + CASE WHEN {hit} THEN 1 ELSE 0 END, CASE WHEN {hit} THEN run + 2 ELSE 0 END,
+    score + CASE WHEN {hit} THEN 1 + run + CASE WHEN i = 0 OR before IN ('/', '_', '-') THEN 5 ELSE 0 END ELSE 0 END, substr(t, i + 1, 1) FROM z WHERE i < length(t)),
+fz AS (SELECT path, CAST(coalesce(max(score + 10) FILTER (NOT whole), max(score) FILTER (whole)) AS FLOAT) AS score FROM z WHERE i = length(t) AND met = {len(q)} GROUP BY 1)
+"""
+    )
+
+
+@query(_fuzzy("webdoc12") + "SELECT path, score FROM fz WHERE score > 0 ORDER BY score DESC, path LIMIT 20")
 def path_fuzzy(spark, d):
     return files.fuzzy_paths(_docs(spark, d), "webdoc12")
 
@@ -353,7 +373,9 @@ def _dead(spark, d):
 
 
 def _findings(spark, d):
-    return audit.hotspots(_edges(spark, d)).unionByName(_dead(spark, d))
+    p = _keys(spark, d)
+    counts = outline.symbols(p).groupBy("path").agg(F.count(F.lit(1)).alias("symbols"))
+    return audit.hotspots(_edges(spark, d), counts).unionByName(_dead(spark, d))
 
 
 @query(EDGES + "SELECT path, detail, CAST(line_start AS INTEGER) AS line_start FROM dead")
@@ -366,14 +388,39 @@ def audit_summary(spark, d):
     return audit.summary(_findings(spark, d))
 
 
-@query(EDGES + "SELECT rule, severity, count(*) AS n, min(path) AS top_path FROM findings GROUP BY 1, 2")
+@query(EDGES + "SELECT rule, severity, count(*) AS n, arg_min(path, place) AS top_path FROM placed GROUP BY 1, 2")
 def audit_rule_groups(spark, d):
     return audit.rule_groups(_findings(spark, d))
 
 
-@query(EDGES + ", o AS (SELECT *, min(CASE actionability WHEN 'actionable' THEN 0 ELSE 1 END) OVER (PARTITION BY path) = 0 AND actionability <> 'actionable' AS secondary FROM findings) SELECT path, rule, severity, actionability, detail, secondary FROM o ORDER BY secondary, CASE actionability WHEN 'actionable' THEN 0 ELSE 1 END, CASE severity WHEN 'high' THEN 0 ELSE 1 END, path, line_start NULLS FIRST, rule LIMIT 100")
+@query(EDGES + "SELECT id, path, rule, severity, actionability, detail, secondary FROM placed WHERE place <= 100")
 def audit_ordered(spark, d):
-    return audit.ordered(_findings(spark, d)).select("path", "rule", "severity", "actionability", "detail", "secondary")
+    return audit.ordered(_findings(spark, d)).select("id", "path", "rule", "severity", "actionability", "detail", "secondary")
+
+
+@query(EDGES + "SELECT id, actionability FROM findings WHERE rule = 'dead_code.candidate'")
+def audit_dead_code_ids(spark, d):
+    return _dead(spark, d).select("id", "actionability")
+
+
+@query(
+    EDGES
+    + """, t AS (SELECT count(*) AS total, count(*) FILTER (severity = 'high') AS high FROM findings),
+g AS (SELECT count(*) AS returned, count(*) FILTER (actionability = 'actionable' AND NOT secondary) AS actionable, count(*) FILTER (actionability = 'candidate' AND NOT secondary) AS candidates,
+  count(*) FILTER (actionability = 'risk_note' AND NOT secondary) AS risk_notes, count(*) FILTER (actionability = 'expected' AND NOT secondary) AS expected, count(*) FILTER (secondary) AS secondary FROM placed WHERE place <= 100)
+SELECT CASE total WHEN 0 THEN 'pass' ELSE 'warn' END AS verdict, total, returned, high, total - high AS warnings, actionable, candidates, risk_notes, expected, secondary, total > 100 AS truncated FROM t, g"""
+)
+def audit_report(spark, d):
+    return audit.report(_findings(spark, d))
+
+
+@query(
+    EDGES
+    + """SELECT severity, rule, path, line_start AS line, CASE rule WHEN 'dependency.hotspot' THEN 'Dependency hotspot' ELSE 'Possible unused function `' || detail || '`' END AS title, CAST(1 AS BIGINT) AS instances
+FROM placed WHERE place <= 12"""
+)
+def audit_report_rows(spark, d):
+    return audit.report_rows(_findings(spark, d))
 
 
 _CHANGED = "c AS (SELECT 'src/customer/k' || c_custkey || '.ts' AS path FROM customer WHERE c_custkey % 100 = 0)"
@@ -403,6 +450,150 @@ def pipeline_deps(spark, d):
     return pipe.run(_keys(spark, d), "glob src/customer/k1*.ts | deps", edges=_edges(spark, d))
 
 
+@query(_fuzzy("webdoc12") + "SELECT path FROM fz WHERE score > 0 ORDER BY score DESC, path LIMIT 3")
+def pipeline_fuzzy_limit(spark, d):
+    return pipe.run(_docs(spark, d), "fuzzy webdoc12 | limit 3")
+
+
+@query(ORACLE["search_single_tiered"].replace("SELECT path, line_num, line_text, CAST(tier AS INTEGER) AS tier", "SELECT path, line_num, line_text").replace("LIMIT 100", "LIMIT 7"))
+def pipeline_search_limit(spark, d):
+    return pipe.run(_docs(spark, d), "search anon | limit 7")
+
+
+@query("SELECT 'nonsense' IS NULL AS none, 'unknown command: nonsense' AS error")
+def pipeline_error(spark, d):
+    return pipe.run_or_error(spark, _docs(spark, d), "glob src/*.py | nonsense").select(F.lit(False).alias("none"), "error")
+
+
+# --- imports by suffix, traces, definitions among references
+
+
+@query("SELECT 'app/c' || c_custkey || '.py' AS src, 'lib/n' || c_nationkey || '/__init__.py' AS dst FROM customer")
+def deps_suffix_index(spark, d):
+    p = A.module_files(spark, d)
+    return deps.resolve(p, outline.imports(p))[0]
+
+
+@query(EDGES + "SELECT src AS path, 'imported_by' AS relation, CAST(1 AS INTEGER) AS depth FROM e WHERE dst = 'src/nation/k7.ts'")
+def trace_imported_by(spark, d):
+    p = _keys(spark, d)
+    return deps.trace(spark, *deps.resolve(p, outline.imports(p)), "src/nation/k7.ts")
+
+
+@query(EDGES + ", r AS (SELECT 'src/orders/k10.ts' AS path, 0 AS depth UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.path) SELECT path, 'depends_on' AS relation, CAST(min(depth) AS INTEGER) AS depth FROM r WHERE depth > 0 GROUP BY 1")
+def trace_depends_on(spark, d):
+    p = _keys(spark, d)
+    return deps.trace(spark, *deps.resolve(p, outline.imports(p)), "src/orders/k10.ts", "depends_on", True)
+
+
+@query(
+    EDGES
+    + _USES
+    + """SELECT path, CAST(line_num AS INTEGER) AS line_num, line_text, CASE line_num WHEN 1 THEN 'import' WHEN 3 THEN 'call' ELSE 'definition' END AS kind, CAST(CASE line_num WHEN 1 THEN 75 WHEN 3 THEN 65 ELSE 100 END + 14 AS INTEGER) AS score FROM g"""
+)
+def word_refs_definitions(spark, d):
+    p = _keys(spark, d)
+    return search.word_refs(p, "nation_7", outline.symbols_naming(p, "nation_7")).select("path", "line_num", "line_text", "kind", "score")
+
+
+# --- reads and outlines with their guards
+
+
+@query(DOCS + "SELECT path, CASE WHEN doc_id % 3 = 0 THEN '' ELSE content END AS text, doc_id % 3 = 0 AS unchanged FROM f WHERE path LIKE 'docs/%'")
+def read_if_hash(spark, d):
+    f = _docs(spark, d).where(F.col("path").startswith("docs/")).withColumn("byte_size", F.octet_length("content").cast("long"))
+    h = f.select("path", project.content_hashes(F.col("content")).alias("known"), "doc_id")
+    # a read per hash that a client has: every third file's own
+    out = files.read(f, f).join(h, "path")
+    same = (F.col("doc_id") % 3 == 0) & (F.upper("known") == F.upper("hash"))
+    return out.select("path", F.when(same, "").otherwise(F.col("text")).alias("text"), same.alias("unchanged"))
+
+
+@query(EDGES + "SELECT 'src/customer/k5.ts' AS path, 'typescript' AS language, CAST(4 AS INTEGER) AS line_count, [split_part(replace(dst, 'src/', '../'), '.ts', 1)] AS imports, CAST(1 AS INTEGER) AS symbol_count, 'customer_5' AS name FROM e WHERE src = 'src/customer/k5.ts'")
+def outline_answer(spark, d):
+    p = _keys(spark, d)
+    only = p.where(F.col("path") == "src/customer/k5.ts")
+    lost = deps.resolve(p, outline.imports(only))[1]
+    return files.outline_answer(p, outline.symbols(only), lost, "src/customer/k5.ts").select("path", "language", "line_count", "imports", "symbol_count", F.element_at("symbols", 1)["name"].alias("name"))
+
+
+@query(DOCS + "SELECT path, language, line_count, byte_size FROM f")
+def file_map(spark, d):
+    return files.file_map(_docs(spark, d))
+
+
+# --- the stored index
+
+
+def _index(spark, files_, *tables):
+    return index.build(spark, files_, work_dir(spark, "index"), tables or index.TABLES)
+
+
+@query(DOCS + "SELECT l.path, line_num, line_text FROM l JOIN w USING (path, line_num) WHERE word = 'the' AND l.path LIKE 'docs/%'")
+def index_word_lookup(spark, d):
+    tables = index.opened(spark, _index(spark, _docs(spark, d).select("path", "content", "modified_ms"), "files", "contents", "words"))
+    return index.lines_of(tables, index.word_lines(tables, "The").where(F.col("path").startswith("docs/")))
+
+
+@query(ORACLE["trigram_candidates"])
+def index_trigram_candidates(spark, d):
+    tables = index.opened(spark, _index(spark, _docs(spark, d).select("path", "content", "modified_ms"), "trigrams"))
+    return index.trigram_candidates(tables, "tion th")
+
+
+@query(EDGES + "SELECT src AS path FROM e WHERE dst = 'src/nation/k7.ts'")
+def index_imported_by(spark, d):
+    keys = _keys(spark, d).withColumn("modified_ms", F.lit(0).cast("long"))
+    tables = index.opened(spark, _index(spark, keys, "files", "symbols", "imports", "edges", "unresolved"))
+    return deps.imported_by(tables["edges"], "src/nation/k7.ts")
+
+
+def _moved(spark, d):
+    """The documents as files, and as a walk finds them later: some gone, changed, touched, new."""
+    f = _docs(spark, d).select("doc_id", "path", "content", "modified_ms")
+    walked = f.where("doc_id % 7 <> 0").select("doc_id", "path", F.when(F.col("doc_id") % 5 == 0, F.concat("content", F.lit(" fresh"))).otherwise(F.col("content")).alias("content"), (F.col("modified_ms") + F.when((F.col("doc_id") % 3 == 0) | (F.col("doc_id") % 5 == 0), 1).otherwise(0)).alias("modified_ms"))
+    walked = walked.union(walked.where("doc_id % 11 = 0").withColumn("path", F.concat(F.lit("new/"), F.col("path"))))
+    return f.drop("doc_id"), walked.select("path", F.octet_length("content").cast("long").alias("byte_size"), "modified_ms"), walked.select("path", "content")
+
+
+_LATER = """, a AS (SELECT path, doc_id, CASE WHEN doc_id % 7 = 0 THEN 'remove' WHEN doc_id % 5 = 0 THEN 'reindex' WHEN doc_id % 3 = 0 THEN 'metadata' END AS action FROM f
+  UNION ALL SELECT 'new/' || path, doc_id, 'add' FROM f WHERE doc_id % 11 = 0 AND doc_id % 7 <> 0)
+"""
+
+
+@query(DOCS + _LATER + "SELECT path, action FROM a WHERE action IS NOT NULL")
+def index_refresh_plan(spark, d):
+    f, meta, contents = _moved(spark, d)
+    tables = index.opened(spark, _index(spark, f, "files"))
+    return index.plan(tables, meta, contents)
+
+
+@query(DOCS + _LATER + "SELECT path, action FROM a WHERE action IS NOT NULL AND (path LIKE 'docs/%' OR path LIKE 'new/src/%')")
+def index_refresh_paths(spark, d):
+    f, meta, contents = _moved(spark, d)
+    tables = index.opened(spark, _index(spark, f, "files"))
+    return index.plan(tables, meta, contents, spark.createDataFrame([("docs",), ("new/src/",)], "path string"))
+
+
+@query(DOCS + _LATER + "SELECT word, count(*) AS n FROM (SELECT w.word, a.path FROM w JOIN a USING (path) WHERE word IN ('the', 'and') AND action IS DISTINCT FROM 'remove' AND action IS DISTINCT FROM 'add' UNION ALL SELECT 'fresh', path FROM a JOIN f USING (doc_id) WHERE doc_id % 5 = 0 AND action <> 'remove' UNION ALL SELECT w.word, a.path FROM a JOIN w ON a.path = 'new/' || w.path WHERE action = 'add' AND word IN ('the', 'and')) GROUP BY 1".replace("UNION ALL SELECT 'fresh', path FROM a JOIN f USING (doc_id)", "UNION ALL SELECT 'fresh', a.path FROM a JOIN f USING (doc_id)"))
+def index_refreshed_words(spark, d):
+    f, meta, contents = _moved(spark, d)
+    old = _index(spark, f, "files", "contents", "words", "versions")
+    new, _ = index.refresh(spark, old, meta, contents, work_dir(spark, "index"))
+    return index.opened(spark, new)["words"].where("word in ('the', 'and', 'fresh')").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(DOCS + "SELECT op, count(*) AS n FROM (SELECT 'Insert' AS op FROM f UNION ALL SELECT 'Delete' FROM f WHERE doc_id % 7 = 0) GROUP BY 1 UNION ALL SELECT 'files', count(*) FROM f WHERE doc_id % 7 <> 0 UNION ALL SELECT 'lines of the', count(*) FROM w JOIN f USING (path) WHERE word = 'the' AND doc_id % 7 <> 0")
+def index_remove(spark, d):
+    f = _docs(spark, d)
+    gone = f.where("doc_id % 7 = 0").select("path")
+    new = index.remove(spark, _index(spark, f.select("path", "content", "modified_ms"), "files", "words", "versions"), gone, work_dir(spark, "index"))
+    t = index.opened(spark, new)
+    ops = t["versions"].groupBy("op").agg(F.count(F.lit(1)).alias("n"))
+    more = t["files"].agg(F.lit("files").alias("op"), F.count(F.lit(1)).alias("n")).union(index.word_lines(t, "the").agg(F.lit("lines of the").alias("op"), F.count(F.lit(1)).alias("n")))
+    return ops.union(more)
+
+
 # --- versions, refresh, metrics
 
 _VERSIONS = "WITH v AS (SELECT 'users/' || user_id AS path, event_id + 1 AS seq, CASE event_type WHEN 'signup' THEN 'Insert' WHEN 'error' THEN 'Delete' ELSE 'Replace' END AS op, CAST(floor(value) AS BIGINT) AS size FROM events)"
@@ -514,7 +705,7 @@ def read_line(spark, d):
     return A.line_table(f.join(F.broadcast(first), "path", "left_semi")).where("line_num = 1").select("path", "line_num", "line_text")
 
 
-@query(DOCS + "SELECT path, CASE WHEN length(t) > 120 THEN substr(t, 1, 117) || '...' ELSE t END AS cell FROM (SELECT path, trim(regexp_replace(line_text, '\\s+', ' ', 'g')) AS t FROM l WHERE path LIKE 'lib/%' AND line_num = 1)")
+@query(DOCS + "SELECT path, CASE WHEN length(t) > 120 THEN substr(t, 1, 117) || '...' ELSE t END AS cell FROM (SELECT path, trim(regexp_replace(line_text, '\\s+', ' ', 'g')) AS t FROM l)")
 def compact_cells(spark, d):
     return A.line_table(_docs(spark, d)).select("path", output.compact(F.col("line_text")).alias("cell"))
 

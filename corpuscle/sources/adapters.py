@@ -32,6 +32,7 @@ FOREIGN_KEYS = (
     ("supplier", "s_suppkey", (("s_nationkey", "nation"),)),
     ("customer", "c_custkey", (("c_nationkey", "nation"),)),
     ("orders", "o_orderkey", (("o_custkey", "customer"),)),
+    ("part", "p_partkey", ()),
 )
 
 
@@ -54,6 +55,15 @@ def key_project(spark: SparkSession, sf_dir: str, cyclic: bool = False) -> DataF
     return spread(out) if out.rdd.getNumPartitions() < 2 * len(FOREIGN_KEYS) else out
 
 
+def module_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Python package per nation and a module per customer that imports its nation's package by name."""
+    n, c = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("nation", "customer"))
+    number = lambda x: F.col(x).cast("string")
+    packages = n.select(F.concat(F.lit("lib/n"), number("n_nationkey"), F.lit("/__init__.py")).alias("path"), F.lit("LIMIT = 1\n").alias("content"))
+    modules = c.select(F.concat(F.lit("app/c"), number("c_custkey"), F.lit(".py")).alias("path"), F.concat(F.lit("import n"), number("c_nationkey"), F.lit("\n")).alias("content"))
+    return packages.union(modules)
+
+
 def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file per page that imports what the page links to."""
     p = spark.read.parquet(f"{sf_dir}/pages.parquet")

@@ -9,7 +9,9 @@ import subprocess
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -23,7 +25,10 @@ SKIP_DIRS = {
 }
 SKIP_FILES = {".DS_Store", "Thumbs.db", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "Cargo.lock", "composer.lock", "Gemfile.lock", "poetry.lock", "go.sum"}
 IMAGES = {"png", "jpg", "jpeg", "gif", "bmp", "ico", "webp", "avif"}
-BINARY = IMAGES | set("zip gz tar bz2 xz 7z rar exe dll so dylib a o class jar wasm pdf mp3 mp4 mov avi wav ttf otf woff woff2 eot bin dat db sqlite pyc".split())
+BINARY = IMAGES | set(
+    "exe dll so dylib o a lib mp3 mp4 wav avi mov mkv flv wmv zip tar gz bz2 xz 7z rar pdf doc docx xls xlsx ppt pptx "
+    "woff woff2 ttf otf eot pyc pyo class jar min.js min.css wasm node".split()
+)
 SCHEMA = "path string, content string, byte_size long, modified_ms long, indexed boolean"
 FORMAT_VERSION = 1
 
@@ -126,12 +131,17 @@ def changed_files(root: str, base: str) -> list[str]:
     return sorted(set(out.stdout.split("\n")) - {""})
 
 
-def save(spark: SparkSession, tables: dict[str, DataFrame], folder: str) -> str:
-    """Write tables as Parquet, sorted by path within files, and a manifest last: without it a snapshot does not exist."""
+def save(spark: SparkSession, tables: dict[str, DataFrame], folder: str, order: dict[str, tuple[str, ...]] | None = None) -> str:
+    """Write tables as Parquet, and a manifest last: without it a snapshot does not exist.
+
+    Tables are sorted by path within files; those of ``order`` are dealt by range of its columns and sorted by them.
+    """
     name = f"{folder.rstrip('/')}/{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}"
     rows = {}
     for table, df in tables.items():
-        df.sortWithinPartitions("path").write.parquet(f"{name}/{table}")
+        by = (order or {}).get(table)
+        df = df.repartitionByRange(*by).sortWithinPartitions(*by) if by else df.sortWithinPartitions("path")
+        df.write.parquet(f"{name}/{table}")
         back = spark.read.parquet(f"{name}/{table}")
         checked = back.select(F.count(F.lit(1)).alias("rows"), F.coalesce(F.bit_xor(F.xxhash64(*[F.col(c) for c in sorted(back.columns)])), F.lit(0)).alias("hash")).first()
         rows[table] = {"rows": checked.rows, "hash": checked.hash}
@@ -163,3 +173,48 @@ def content_hash(text: str) -> str:
     return f"{h:x}"
 
 
+def _fnv(col: pa.Array) -> list[str]:
+    """``content_hash`` of each text, all texts a byte at a time."""
+    raw = [(t or "").encode() for t in col.to_pylist()]
+    size = np.array([len(r) for r in raw], np.int64)
+    order = np.argsort(-size, kind="stable")
+    flat, start = np.frombuffer(b"".join(raw), np.uint8), (np.cumsum(size) - size)[order]
+    h = np.full(len(raw), 0xCBF29CE484222325, np.uint64)
+    longest = size[order]
+    with np.errstate(over="ignore"):
+        for i in range(int(size.max(initial=0))):
+            n = int(np.searchsorted(-longest, -i, "left"))  # texts longer than i
+            h[:n] = (h[:n] ^ flat[start[:n] + i]) * np.uint64(0x100000001B3)
+    out = np.empty(len(raw), np.uint64)
+    out[order] = h
+    return [f"{x:x}" for x in out.tolist()]
+
+
+def content_hashes(text) -> Column:
+    """``content_hash`` as a column, in Arrow batches."""
+
+    @F.arrow_udf("string")
+    def hashed(col: pa.Array) -> pa.Array:
+        return pa.array(_fnv(col))
+
+    return hashed(text)
+
+
+def read_one(spark: SparkSession, root: str, path: str) -> DataFrame:
+    """One file of a tree as a row of ``read_project``'s shape; no row if it is too large or no regular file."""
+    full = os.path.join(root, path)
+    rows = []
+    if os.path.isfile(full) and not os.path.islink(full) and os.stat(full).st_size <= MAX_BYTES:
+        st = os.stat(full)
+        try:
+            with open(full, encoding="utf-8", newline="") as f:
+                content = f.read()
+        except (OSError, UnicodeDecodeError):
+            content = None
+        rows.append((path, content, st.st_size, st.st_mtime_ns // 1_000_000, content is not None))
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines with a fixed schema; a line that does not fit it fails the read."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
