@@ -29,5 +29,23 @@ QUERIES = {
     )
 }
 
-#: what these queries compute has no SQL form here; tests/llm holds them against brute force
-ORACLE: dict[str, str] = {}
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+#: SQL of the operators that SQL can express; tests/llm holds the others against brute force
+ORACLE: dict[str, str] = {
+    "op3_ngram_jaccard_join": rf"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.r AS x, b.r AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.r <> b.r GROUP BY 1, 2),
+l AS (SELECT x, y FROM c JOIN n p ON p.r = x JOIN n q ON q.r = y WHERE 100 * k >= 75 * (p.n + q.n - k)),
+t AS (SELECT r, r AS o FROM d UNION SELECT t.r, l.y FROM t JOIN l ON t.o = l.x)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(e.doc_id) AS component_id FROM d LEFT JOIN n ON n.r = d.r JOIN t ON t.r = d.r JOIN d e ON e.r = t.o GROUP BY d.r, d.doc_id""",
+    "op9_substring_fm_index": rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+x AS (SELECT r, i, array_to_string(w[i : i + 34], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+m AS (SELECT g FROM x GROUP BY 1 HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, i + k AS p FROM x SEMI JOIN m USING (g), range(35) t(k)),
+word AS (SELECT r, unnest(w) AS v, generate_subscripts(w, 1) AS p FROM d),
+kept AS (SELECT r, string_agg(v, ' ' ORDER BY p) AS t FROM word ANTI JOIN gone USING (r, p) GROUP BY 1),
+lost AS (SELECT r, count(*) AS k FROM gone GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(lost.k, 0) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r) LEFT JOIN lost USING (r)""",
+}

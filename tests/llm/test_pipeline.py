@@ -59,3 +59,16 @@ def test_run_and_registration(spark):
     assert e.queries()["pipeline"] is corpus_pipeline.run and corpus_pipeline.ORACLE_SQL is None
     out = corpus_pipeline.run(spark, SF)
     assert {"doc_id", "start", "length", "sequence_id", "offset"} <= set(out.columns) and out.count() > 0
+
+
+def test_operators_equal_their_sql(spark):
+    import duckdb
+
+    from corpuscle.llm import queries
+
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{SF}/documents.parquet'")
+    for name, sql in queries.ORACLE.items():
+        df, want = queries.QUERIES[name](spark, SF), con.sql(sql)
+        assert sorted(df.columns) == sorted(want.columns)
+        assert sorted(map(tuple, df.select(*want.columns).collect())) == sorted(want.fetchall())
