@@ -176,20 +176,23 @@ def fuzzy_score(pattern: str, text: Column) -> Column:
     """
     if not pattern:
         return F.lit(0.0).cast("float")
-    want = F.array(*map(F.lit, pattern))
-    chars = F.split(text, "")
+    return fuzzy_score_of(F.array(*map(F.lit, pattern)), text)
+
+
+def fuzzy_score_of(want: Column, text: Column) -> Column:
+    """The same for a pattern given as an array of its characters, one at least."""
+    chars, size = F.split(text, ""), F.size(want)
     start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.lit(0).alias("run"), F.lit(0).alias("score"), F.lit("/").alias("before"))
 
     def step(s, c):
-        hit = (s["at"] < len(pattern)) & (c == F.try_element_at(want, s["at"] + 1))
-        hit = F.coalesce(hit, F.lit(False))
+        hit = F.coalesce((s["at"] < size) & (c == F.try_element_at(want, s["at"] + 1)), F.lit(False))
         run = F.when(hit, s["run"] + 2).otherwise(0)
         edge = (s["i"] == 0) | s["before"].isin("/", "_", "-")
         # the first hit of a run has no bonus yet: it accumulates from the second on
         gain = F.when(hit, 1 + F.when(s["run"] > 0, s["run"]).otherwise(0) + F.when(edge, 5).otherwise(0)).otherwise(0)
         return F.struct((s["at"] + hit.cast("int")).alias("at"), (s["i"] + 1).alias("i"), run.alias("run"), (s["score"] + gain).alias("score"), c.alias("before"))
 
-    return F.aggregate(chars, start, step, lambda s: F.when(s["at"] == len(pattern), s["score"].cast("float")))
+    return F.aggregate(chars, start, step, lambda s: F.when(s["at"] == size, s["score"].cast("float")))
 
 
 def time_text(ms: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import exprs as X
+from ..functions import globs
 from ..sources.adapters import line_table
 
 # fixed values: words that carry no meaning, words that ask for tests, words of action
@@ -34,9 +35,18 @@ WEIGHTS = {
     "many_terms_callable": 520,
     "create_or_use": 260,
     "test_path": -60,
+    "shadowed": -260,
+    "indexed": 500,
+    "outlined": 450,
 }
+# fixed values: weights of a symbol's score by several terms, and the least scores of candidates by path and by terms
+TERM_WEIGHTS = {"name": 120, "path": 55, "callable": 120, "action": 140, "runtime": 80}
+LEAST_BY_PATH, LEAST_BY_TERMS, PATHS_A_KEYWORD = 80, 260, 5
 CALLABLE = ("function", "method")
-TOP, BODY_LINES = 5, 120
+TOP, BODY_LINES, HITS, HITS_WITH_TESTS = 5, 120, 24, 8
+#: what a low confidence says and proposes
+LOW_NOTE = "No source symbol matches the question well; what follows are text matches."
+NEXT_STEPS = ("path_search with a file name", "symbol_search with a name", "text_search with a phrase")
 
 
 def normal(text: str) -> str:
@@ -95,55 +105,107 @@ def _once(values: dict[str, Column], use) -> Column:
 
 
 def _keyword_table(ks: list[str]) -> Column:
-    rows = [F.struct(F.lit(k).alias("word"), F.lit(k.lower()).alias("low"), F.lit(normal(k)).alias("norm"), F.lit(re.search(r"[A-Z_\-]", k) is not None).alias("signal")) for k in ks]
+    rows = [F.struct(F.lit(i).alias("ord"), F.lit(k).alias("word"), F.lit(k.lower()).alias("low"), F.lit(normal(k)).alias("norm"), F.lit(re.search(r"[A-Z_\-]", k) is not None).alias("signal")) for i, k in enumerate(ks)]
     return F.array(*rows)
 
 
+def allowed(path: Column, prefix: str = "", glob: str | None = None, language: str | None = None) -> Column:
+    """A question's filter of paths."""
+    cond = X.under(path, prefix)
+    if glob is not None:
+        cond &= globs.matches(path, glob)
+    return cond & (X.language(path) == language.lower()) if language is not None else cond
+
+
+def near_paths(paths: DataFrame, ks: list[str]) -> DataFrame:
+    """(path, near): the keywords (of 3 bytes and more) that a path is among the best fuzzy matches of, with rounded scores.
+
+    Every keyword has ``PATHS_A_KEYWORD`` paths at most, so this is a small table; only the best of each task are dealt.
+    """
+    asked = F.array(*[F.struct(F.lit(i).alias("ord"), F.split(F.lit(k.lower()), "").alias("want")) for i, k in enumerate(ks) if len(k.encode()) >= 3])
+    low = F.lower("path")
+    values = {"name": F.substring_index(low, "/", -1), "path": low}
+    score = lambda x, k: F.coalesce(X.fuzzy_score_of(k["want"], x["name"]) + F.lit(10).cast("float"), X.fuzzy_score_of(k["want"], x["path"]))
+    scores = _once(values, lambda x: F.transform(asked, lambda k: F.struct(k["ord"].alias("ord"), score(x, k).alias("score"))))
+    rows = paths.select("path", F.explode(scores).alias("s")).select("path", "s.*").where("score > 0")
+    place = F.row_number().over(W.partitionBy("ord").orderBy(F.desc("score"), "path"))
+    best = rows.withColumn("place", place).where(F.col("place") <= PATHS_A_KEYWORD)
+    return best.groupBy("path").agg(F.collect_list(F.struct("ord", F.round("score").cast("int").alias("more"))).alias("near"))
+
+
 def _score(question: str, ks: list[str], tests: bool) -> Column:
-    """A symbol's best score over the keywords, its way of becoming a candidate included; null if it is none."""
+    """A symbol's best score over its ways of becoming a candidate; null if it is none.
+
+    The ways: a keyword's own name, that name whatever its case, a file among the best for a keyword, several terms.
+    """
     w, path = WEIGHTS, F.col("path")
     call = F.col("kind").isin(*CALLABLE)
     found = terms(question)
     core = [t for t in found if len(t) >= 4 or t == "run"]
     actions = [a for a in ACTIONS if a in found]
     count = lambda text, words: F.size(F.filter(F.array(*map(F.lit, words)), lambda t: F.contains(text, t))) if words else F.lit(0)
+    base = X.kind_score(F.col("kind")) + path_score(path, tests)
+    in_tests = F.when(X.is_test_path(path) & F.lit(not tests), w["test_path"]).otherwise(0)
+
+    def action_score(x):
+        hit = (count(x["n"], actions) + count(x["p"], actions)) > 0
+        return F.when(hit & x["call"], 360).when(hit, 180).otherwise(-260) if actions else F.lit(0)
 
     def per_symbol(x):
         n, p = x["n"], x["p"]
-
-        def per_keyword(k):
-            same = F.when(x["name"] == k["word"], w["exact"] + 500).when(x["ascii"] == k["low"], F.when(k["signal"], w["same_ignoring_case"]).otherwise(0) + 450).otherwise(0)
-            near = F.when(n == k["norm"], w["normal_equal"]).when(F.contains(n, k["norm"]), w["normal_contains"]).when((F.octet_length(k["norm"]) >= 5) & F.contains(k["norm"], n) & (n != ""), w["normal_within"]).otherwise(0)
-            suffix = F.when(x["call"] & F.endswith(n, k["norm"]) & (F.length(n) > F.length(k["norm"])), w["suffix_callable"]).otherwise(0)
-            return same + near + suffix + F.when(F.contains(p, k["norm"]), w["path_keyword"]).otherwise(0)
-
         in_name, in_path = count(n, found), count(p, found)
         many = x["call"] & (in_name >= 2)
         more = w["term_in_name"] * in_name + w["term_in_path"] * in_path + F.when(x["call"] & (n == x["stem"]), w["basename_callable"]).otherwise(0)
         more += F.when(many, w["many_terms_callable"]).otherwise(0) + F.when(many & n.rlike("^(create|use)"), w["create_or_use"]).otherwise(0)
+        shadowed = ~x["call"] & (n != "") & F.exists(x["callables"], lambda c: F.endswith(c, n) & (F.length(c) > F.length(n)))
+        more += F.when(shadowed, w["shadowed"]).otherwise(0) + x["base"] + x["tests"]
+        c_name, c_path = count(n, core), count(p, core)
         if core:
-            c_name, c_path = count(n, core), count(p, core)
             more += F.when(c_name == 0, -1000).when((c_name == 1) & (c_path == 0) & F.lit(len(core) >= 3), -1200).when(c_name >= 2, 600).when(c_path >= 1, 200).otherwise(0)
-            more += F.when((c_name == 0) & (c_path < 2), -360).otherwise(90 * c_name + 25 * c_path)
-        if actions:
-            hit = (count(n, actions) + count(p, actions)) > 0
-            more += F.when(hit & x["call"], 360).when(hit, 180).otherwise(-260)
-        table = _keyword_table(ks)
-        candidate = F.exists(table, lambda k: (x["name"] == k["word"]) | (x["ascii"] == k["low"])) | (in_name >= 2)
-        return F.when(candidate, F.array_max(F.transform(table, per_keyword)) + more)
+            more += F.when((c_name == 0) & (c_path < 2), -360).otherwise(90 * c_name + 25 * c_path) + action_score(x)
+
+        t = TERM_WEIGHTS
+        by_terms = x["base"] + x["tests"] + t["name"] * c_name + t["path"] * c_path + F.when(x["call"], t["callable"]).otherwise(0) + action_score(x)
+        by_terms += F.when(n.rlike("^(create|run)"), t["action"]).otherwise(0) + F.when(F.contains(n, F.lit("runtime")), t["runtime"]).otherwise(0)
+        enough = ~((c_name == 0) & (c_path < 2)) & (c_name + c_path >= 2) & F.lit(bool(core))
+
+        def best(y):
+            def per_keyword(k):
+                own = F.when(x["name"] == k["word"], w["exact"]).when(k["signal"] & (x["ascii"] == k["low"]), w["same_ignoring_case"]).otherwise(0)
+                close = F.when(n == k["norm"], w["normal_equal"]).when(F.contains(n, k["norm"]), w["normal_contains"]).when((F.octet_length(k["norm"]) >= 5) & F.contains(k["norm"], n), w["normal_within"]).otherwise(0)
+                suffix = F.when(x["call"] & F.endswith(n, k["norm"]) & (F.length(n) > F.length(k["norm"])), w["suffix_callable"]).otherwise(0)
+                score = own + y["more"] + F.when(k["norm"] != "", close + suffix + F.when(F.contains(p, k["norm"]), w["path_keyword"]).otherwise(0)).otherwise(0)
+                by_path = F.try_element_at(F.filter(x["near"], lambda v: v["ord"] == k["ord"]), F.lit(1))["more"]
+                # what a way adds; a candidate by path counts from LEAST_BY_PATH on
+                named = F.when(x["name"] == k["word"], w["indexed"]).when(x["ascii"] == k["low"], w["outlined"])
+                return F.struct(score.alias("score"), named.alias("named"), by_path.alias("by_path"))
+
+            found = F.transform(_keyword_table(ks), per_keyword)
+            found = F.transform(found, lambda v: F.greatest(v["score"] + v["named"], F.when(v["score"] + v["by_path"] >= LEAST_BY_PATH, v["score"] + v["by_path"])))
+            return F.greatest(F.array_max(found), F.when(enough & (y["by_terms"] >= LEAST_BY_TERMS), y["by_terms"]))
+
+        return _once({"more": more, "by_terms": by_terms}, best)
 
     stem = F.regexp_replace(F.substring_index(path, "/", -1), r"\.[^.]*$", "")
     values = {"n": X.normalised(F.col("name")), "p": X.normalised(path), "stem": X.normalised(stem), "name": F.col("name"), "ascii": X.ascii_lower(F.col("name")), "call": call}
-    place = path_score(path, tests) + F.when(X.is_test_path(path) & F.lit(not tests), w["test_path"]).otherwise(0)
-    return _once(values, per_symbol) + X.kind_score(F.col("kind")) + place
+    values |= {"base": base, "tests": in_tests, "near": F.col("near"), "callables": F.col("callables")}
+    return _once(values, per_symbol)
+
 
+def ranked_symbols(symbols: DataFrame, question: str, limit: int = TOP, prefix: str = "", glob: str | None = None, language: str | None = None) -> DataFrame:
+    """The best symbols for a question: each once, with its best score; tests only if asked for or alone.
 
-def ranked_symbols(symbols: DataFrame, question: str, limit: int = TOP) -> DataFrame:
-    """The best symbols for a question: each once, with its best keyword's score; tests only if asked for or alone."""
+    Fuzzy paths are looked up among all files with symbols, before the filter of paths.
+    """
     tests, ks = asks_for_tests(question), keywords(question)
     s = symbols.where("kind <> 'import'")
     if not ks:
         return s.select("path", "name", "kind", "line_start", "line_end", F.lit(0).alias("score")).limit(0)
+    near = near_paths(symbols.select("path").distinct(), ks)  # PATHS_A_KEYWORD rows a keyword at most
+    calls = s.where(F.col("kind").isin(*CALLABLE)).groupBy("path").agg(F.collect_set(X.normalised(F.col("name"))).alias("callables"))
+    s = s.where(allowed(F.col("path"), prefix, glob, language)).join(F.broadcast(near), "path", "left").join(calls, "path", "left")
+    none = F.array().cast("array<struct<ord:int,more:int>>")
+    s = s.withColumn("near", F.coalesce("near", none)).withColumn("callables", F.coalesce("callables", F.array().cast("array<string>")))
     rows = s.select("path", "name", "kind", "line_start", "line_end", _score(question, ks, tests).alias("score")).where("score > 0")
     rows = rows.groupBy("path", "name", "kind", "line_start").agg(F.max("line_end").alias("line_end"), F.max("score").alias("score"))
     return _without_tests(rows, tests).orderBy(F.desc("score"), path_rank(F.col("path")), "path", "line_start", "name").limit(limit)
@@ -164,34 +226,69 @@ def bodies(files: DataFrame, ranked: DataFrame, most: int = BODY_LINES) -> DataF
     return joined.select("path", "name", "kind", "line_start", "line_end", "score", F.array_join(F.slice(lines, F.col("line_start"), n), "\n").alias("body"))
 
 
-def snippets(files: DataFrame, ranked: DataFrame, question: str, limit: int = 20) -> DataFrame:
-    """Lines for the keywords: definitions of the ranked symbols first, then the lines that say a keyword, by score."""
+def snippets(files: DataFrame, ranked: DataFrame, question: str, limit: int = 20, prefix: str = "", glob: str | None = None, language: str | None = None) -> DataFrame:
+    """Lines for the keywords: definitions of the ranked symbols first, then the lines that a search for a keyword gives.
+
+    Each keyword gives ``HITS`` lines at most, in the order of a search (word, prefix, within a word; path; line) and before
+    the filter of paths; the first keyword to reach a line fixes its score. All keywords are looked for in one pass over the
+    lines, and only the first hits of each task are dealt.
+    """
     tests, ks = asks_for_tests(question), keywords(question)
     order = W.orderBy(F.desc("score"), path_rank(F.col("path")), "path", "line_start", "name")
-    defs = ranked.withColumn("r", F.row_number().over(order) - 1).select("path", F.col("line_start").alias("line_num"), (F.lit(260) - 12 * F.col("r")).alias("score"))
+    defs = ranked.withColumn("r", F.row_number().over(order) - 1).select("path", F.col("line_start").alias("line_num"), (F.lit(260) - 12 * F.col("r")).alias("score"), F.lit(-1).alias("ord"))
     lines = line_table(files)
     text, path = F.col("line_text"), F.col("path")
     if not ks:
         return lines.select("path", "line_num", "line_text", F.lit(0).alias("score")).limit(0)
+
+    parts = [k.lower().split() or [k.lower()] for k in ks]
+    rows = [F.struct(F.lit(i).alias("ord"), F.array(*map(F.lit, p)).alias("parts"), F.lit(p[0]).alias("first"), F.lit(len(p[0].encode()) >= 3 and p[0].isascii()).alias("inside")) for i, p in enumerate(parts)]
+
+    def tier(k, x):
+        several = F.when(F.forall(k["parts"], lambda w: F.contains(x["low"], w)), 0)
+        one = F.when(F.array_contains(x["words"], k["first"]), 1).when(F.exists(x["words"], lambda w: F.startswith(w, k["first"])), 2).when(k["inside"] & F.contains(x["low"], k["first"]), 3)
+        return F.when(F.size(k["parts"]) > 1, several).otherwise(one)
+
+    found = lambda x: F.transform(F.array(*rows), lambda k: F.struct(k["ord"].alias("ord"), tier(k, x).alias("tier")))
+    hits = F.filter(_once({"low": F.lower(text), "words": X.tokens(text)}, found), lambda h: h["tier"].isNotNull())
+    said = lines.select("path", "line_num", "line_text", "language", F.explode(hits).alias("h")).select("path", "line_num", "line_text", "language", "h.*")
+    place = F.row_number().over(W.partitionBy("ord").orderBy("tier", "path", "line_num"))
+    said = said.withColumn("place", place).where(F.col("place") <= (HITS_WITH_TESTS if tests else HITS))
+    first = said.groupBy("path", "line_num", "line_text", "language").agg(F.min("ord").alias("ord")).where(allowed(path, prefix, glob, language))
     edge = "[^A-Za-z0-9_-]"
 
     def score(x):
-        # the first keyword that a line says fixes its score
-        k = F.try_element_at(F.filter(_keyword_table(ks), lambda k: F.contains(x["low"], k["low"])), F.lit(1))
+        k = F.element_at(_keyword_table(ks), x["ord"] + 1)
         whole = F.regexp_like(x["low"], F.concat(F.lit(f"(^|{edge})\\Q"), k["low"], F.lit(f"\\E({edge}|$)")))
-        return F.when(k.isNotNull(), F.lit(20) + F.when(whole, 30).otherwise(0) + F.when(F.contains(x["path"], k["low"]), 15).otherwise(0) - F.when(F.length(k["word"]) <= 3, 10).otherwise(0))
+        return F.when(F.contains(x["low"], k["low"]), 20).otherwise(0) + F.when(whole, 30).otherwise(0) + F.when(F.contains(x["path"], k["low"]), 15).otherwise(0) - F.when(F.length(k["word"]) <= 3, 10).otherwise(0)
 
-    cases = _once({"low": F.lower(text), "path": F.lower(path)}, score)
+    cases = _once({"low": F.lower(text), "path": F.lower(path), "ord": F.col("ord")}, score)
     place = X.choose((X.is_source_path(path), 20), (X.is_doc_path(path), -30), (X.is_example_path(path), -20), otherwise=0)
     near = ranked.select("path").distinct().withColumn("near", F.lit(90))
     minus = F.when(X.is_comment_or_blank(text, F.col("language")), 20).otherwise(0) + F.when(X.is_import_line(text), 35).otherwise(0) + F.when(X.is_test_path(path) & F.lit(not tests), 80).otherwise(0)
-    said = lines.withColumn("s", cases).where("s is not null").join(F.broadcast(near), "path", "left")  # TOP rows at most
-    said = said.select("path", "line_num", "line_text", (F.col("s") + place + F.coalesce("near", F.lit(0)) - minus).alias("score"))
-    own = defs.join(lines.select("path", "line_num", "line_text"), ["path", "line_num"]).select("path", "line_num", "line_text", "score")
-    rows = own.unionByName(said).groupBy("path", "line_num", "line_text").agg(F.max("score").alias("score"))
+    said = first.join(F.broadcast(near), "path", "left")  # TOP rows at most
+    said = said.select("path", "line_num", "line_text", (cases + place + F.coalesce("near", F.lit(0)) - minus).alias("score"), "ord")
+    own = defs.join(lines.select("path", "line_num", "line_text"), ["path", "line_num"]).select("path", "line_num", "line_text", "score", "ord")
+    rows = own.unionByName(said).groupBy("path", "line_num", "line_text").agg(F.min_by("score", "ord").alias("score"))
     return _without_tests(rows, tests).orderBy(F.desc("score"), path_rank(path), "path", "line_num").limit(limit)
 
 
+def render(question: str, bodies_: DataFrame, snippets_: DataFrame, confidence_: str) -> str:
+    """A bundle as markdown; both tables are as small as their limits."""
+    out = [f"## Context for: {question}", ""]
+    if confidence_ == "low":
+        out += [LOW_NOTE, "", "### Suggested Next Steps", "", *[f"- {x}" for x in NEXT_STEPS], ""]
+    symbols = bodies_.orderBy(F.desc("score"), path_rank(F.col("path")), "path", "line_start", "name").collect()
+    if symbols:
+        out += ["### Relevant Symbols", "", *[f"- {r.name} ({r.kind}): {r.path}:{r.line_start}-{r.line_end}" for r in symbols], "", "### Relevant Symbol Bodies", ""]
+        for r in symbols:
+            out += [f"#### {r.path}:{r.line_start}-{r.line_start + r.body.count(chr(10))} {r.name}", "", "```text", r.body.removesuffix("\n"), "```", ""]
+    lines = snippets_.collect()
+    if lines:
+        out += ["### Relevant Code Snippets", "", *[f"{r.path}:{r.line_num}: {r.line_text}" for r in lines]]
+    return "\n".join(out) + "\n"
+
+
 def confidence(ranked: DataFrame, question: str) -> DataFrame:
     """high: an explicit question with a source symbol; medium: any source symbol; else low."""
     source = F.coalesce(F.bool_or(X.is_source_path(F.col("path"))), F.lit(False))

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from . import manifests
 
 _N = r"([A-Za-z_$][\w$]*)"
 _VIS = r"(?:pub(?:\([^)]*\))?\s+)?"
@@ -91,11 +92,9 @@ RULES["cpp"] = RULES["c"]
 LINE_RULES: dict[str, list[tuple[str, str]]] = {
     "markdown": [(r"#{1,6}\s+(.+?)\s*#*$", "module")],
     "json": [(r"\"([^\"]+)\"\s*:", "constant")],
-    "yaml": [(r"([\w.-]+)\s*:", "constant")],
-    "toml": [(r"\[+([^\]]+)\]+", "module"), (r"([\w.-]+)\s*=", "constant")],
     "shell": [(rf"(?:function\s+)?{_N}\s*\(\)", "function"), (rf"function\s+{_N}", "function")],
     "css": [(r"@mixin\s+([\w-]+)", "function"), (r"((?:--|\$)[\w-]+)\s*:", "variable"), (r"([.#][\w-]+)", "class")],
-    "sql": [(r"(?i:create\s+(?:or\s+replace\s+)?(?:table|view)\s+(?:if\s+not\s+exists\s+)?)([\w.\"]+)", "struct"), (r"(?i:create\s+(?:or\s+replace\s+)?(?:function|procedure)\s+)([\w.]+)", "function")],
+    "sql": [(r"(?i:alter\s+(?:table|view)\s+(?:if\s+exists\s+)?)([\w.\"]+)", "struct"), (r"(?i:create\s+(?:or\s+replace\s+)?(?:table|view)\s+(?:if\s+not\s+exists\s+)?)([\w.\"]+)", "struct"), (r"(?i:create\s+(?:or\s+replace\s+)?(?:function|procedure)\s+)([\w.]+)", "function")],
     "hcl": [(r"(?:resource|data)\s+\"[^\"]*\"\s+\"([^\"]*)\"", "struct"), (r"(?:variable|module|output|provider)\s+\"([^\"]*)\"", "variable")],
     "r": [(r"([\w.]+)\s*(?:<-|=)\s*function", "function"), (r"(?:library|require)\(([\w.]+)\)", "import")],
     "protobuf": [(rf"message\s+{_N}", "struct"), (rf"service\s+{_N}", "interface"), (rf"enum\s+{_N}", "enum"), (rf"rpc\s+{_N}", "method")],
@@ -109,7 +108,7 @@ LINE_RULES: dict[str, list[tuple[str, str]]] = {
 }
 LINE_RULES["scss"] = LINE_RULES["css"]
 for _web in ("svelte", "vue", "astro"):
-    LINE_RULES[_web] = RULES["typescript"]
+    LINE_RULES[_web] = [(rf"export\s+let\s+{_N}", "variable"), *RULES["typescript"], (r"([.#][A-Za-z_][\w-]*)[^{]*\{", "class")]
 BLOCKS = {"function", "method", "class", "struct", "interface", "enum", "module", "impl", "trait", "union"}
 IMPORTS = {
     "rust": r"(?:pub(?:\([^)]*\))?\s+)?use\s+[^;]+;?",
@@ -263,9 +262,41 @@ def _by_lines(language: str, lines: list[str]) -> list[tuple]:
     return [tuple(s) for s in out]
 
 
-def outline(language: str, content: str) -> tuple[list[tuple], list[str]]:
+def _ranged(symbols: list[tuple], n: int) -> list[tuple]:
+    """(name, kind, line, detail) with last lines: a block reaches to the next block, others are one line."""
+    blocks = [k for k, s in enumerate(symbols) if s[1] in BLOCKS]
+    last = {k: max(symbols[k][2], symbols[f][2] - 1 if f is not None else n) for k, f in zip(blocks, [*blocks[1:], None])}
+    return [(name, kind, line, last.get(k, line), detail) for k, (name, kind, line, detail) in enumerate(symbols)]
+
+
+def _go_imports(lines: list[str]) -> list[tuple[str, int, int]]:
+    """(text, first line, last line): a block is one import, with all its lines."""
+    out, start = [], None
+    for i, raw in enumerate(lines, 1):
+        line = raw.strip()
+        if start is not None:
+            if line.startswith(")"):
+                out.append(("\n".join(x.rstrip() for x in lines[start - 1 : i]).strip(), start, i))
+                start = None
+        elif re.match(r"import\s*\(", line):
+            if ")" in line:
+                out.append((line, i, i))
+            else:
+                start = i
+        elif re.match(r"import\s+\S", line):
+            out.append((line, i, i))
+    return out
+
+
+def outline(language: str, content: str, path: str = "") -> tuple[list[tuple], list[str]]:
     """Symbols (name, kind, first line, last line, detail) in order, and the imports' texts."""
     lines = split_lines(content)
+    if manifest := manifests.scanner(language, path):
+        return _ranged(list(manifest(lines)), len(lines)), []
+    if language == "go":
+        found = _go_imports(lines)
+        symbols = [*_braces(language, lines), *((text, "import", a, b, None) for text, a, b in found)]
+        return sorted(symbols, key=lambda s: s[2]), [text for text, *_ in found]
     if language in RULES:
         symbols = _braces(language, lines)
     elif language == "python":
@@ -299,8 +330,8 @@ _IMPORTS = pa.list_(pa.struct([("ord", pa.int32()), ("import_text", pa.string())
 def _outlines(it):
     for b in it:
         symbols, imports = [], []
-        for lang, content in zip(b.column("language").to_pylist(), b.column("content").to_pylist()):
-            s, i = outline(lang, content or "")
+        for path, lang, content in zip(*(b.column(c).to_pylist() for c in ("path", "language", "content"))):
+            s, i = outline(lang, content or "", path)
             at = {}
             for name, kind, first, *_ in s:
                 if kind == "import":
