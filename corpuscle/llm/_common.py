@@ -1,11 +1,12 @@
 """Shared pieces of the training-data operators: work folders, byte-level word hashing, Arrow helpers.
 
 Python code runs through ``mapInArrow`` and works on the UTF-8 buffer of a whole Arrow batch with numpy, in slices of
-about one MB, so no per-word Python objects exist on the hot paths that use it.
+about half a MB, so no per-word Python objects exist on the hot paths that use it.
 """
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -18,15 +19,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: bytes of text that one numpy step works on; a longer single text is one step of its own
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 _B = 0x9E3779B97F4A7C15 | 1
+try:  # only some C libraries have it
+    _LIBC = ctypes.CDLL(None)
+    _LIBC.malloc_trim
+except (OSError, AttributeError):
+    _LIBC = None
 _U = np.uint64
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``; where that is unset (tests) under the local temp folder."""
+    """A fresh folder under ``spark.checkpoint.dir``; where that is unset, and the master local, under the temp folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "corpuscle-work")
     return f"{base.rstrip('/')}/corpuscle/{name}-{uuid.uuid4().hex}"
 
@@ -112,6 +120,25 @@ def slices(off: np.ndarray, most: int = SLICE_BYTES):
         i = j
 
 
+def lean(run):
+    """``run`` (an iterator of batches to one) that gives unused memory back when its task ends: workers live on."""
+
+    def task(it):
+        try:
+            yield from run(it)
+        finally:
+            release()
+
+    return task
+
+
+def release() -> None:
+    """Give memory that nothing uses back to the machine."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 class _Powers:
     """Powers of an odd base modulo 2**64 and their inverses, grown on demand."""
 

@@ -34,12 +34,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Spans, Words, _U, components, documents, mix, most_frequent, numbered, parallelism, signed, slices, stored, text_buffer, unused
+from ._common import components, documents, lean, mix, most_frequent, numbered, parallelism, signed, slices, Spans, stored, text_buffer, unused, Words, _U
 
 N, SHARE, OF = 5, 75, 100
 ORDERS = (0, 0x5851F42D4C957F2D, 0x14057B7EF767814F)
 #: summaries: most frequent tokens of a run of so many tokens; tokens that the orders put last
-CHUNK_TOKENS, LOCAL_TOKENS, LOCAL_LEAST, HOT_TOKENS, HOT_SHARE = 4_000_000, 8192, 4, 65_536, 2000
+CHUNK_TOKENS, LOCAL_TOKENS, LOCAL_LEAST, HOT_TOKENS, HOT_SHARE = 1_500_000, 8192, 4, 65_536, 2000
 #: tokens with hashes up to this are dealt for every set, and how often sets that have unshared ones are looked through
 THRESHOLD, PEELS = np.uint64(int(0.3 * 2**64)), 2
 #: classes and tokens of one block of a group; groups of up to so many are verified pair by pair
@@ -143,7 +143,7 @@ def _tokens(hot):
                 found = []
                 for s in shingle_sets(buf, off[i : j + 1]):
                     if len(s) and (c := set_class(s)) not in seen:
-                        if len(seen) >= 1 << 20:
+                        if len(seen) >= 1 << 18:
                             seen.clear()
                         seen.add(c)
                         dealt, low = sample(s, hot_tokens, rank)
@@ -418,7 +418,7 @@ def classes_of(spark: SparkSession, df: DataFrame) -> tuple[DataFrame, DataFrame
     """(doc_id, t, cls, n) of every row of ``df``, and (cls, component) with the smallest doc_id reachable by links."""
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
     wide = parallelism(spark, docs)
-    survey = stored(spark, docs.mapInArrow(_survey, "kind int, a long, b long, n long, t long"), "shingles")
+    survey = stored(spark, docs.mapInArrow(lean(_survey), "kind int, a long, b long, n long, t long"), "shingles")
     rows = survey.where("kind = 0").select(F.col("a").alias("doc_id"), "t", F.col("b").alias("cls"), "n")
     counts = survey.where("kind = 1").groupBy("a").agg(F.sum("b").alias("times"))
     least = max(2 * LOCAL_LEAST, rows.count() // HOT_SHARE)
@@ -430,13 +430,13 @@ def classes_of(spark: SparkSession, df: DataFrame) -> tuple[DataFrame, DataFrame
     hot = spark.sparkContext.broadcast((token[order], rank))
 
     # late tokens are dealt by class too: that other classes have them is known
-    dealt = docs.select("text").mapInArrow(_tokens(hot), "token long, cls long, nt long, late boolean").repartition(wide, "token", F.when(F.col("late"), F.col("cls"))).sortWithinPartitions("token", "cls")
-    shared = stored(spark, dealt.mapInArrow(_shared, "token long, cls long, n int, low boolean, sampled int, late boolean"), "shared")
+    dealt = docs.select("text").mapInArrow(lean(_tokens(hot)), "token long, cls long, nt long, late boolean").repartition(wide, "token", F.when(F.col("late"), F.col("cls"))).sortWithinPartitions("token", "cls")
+    shared = stored(spark, dealt.mapInArrow(lean(_shared), "token long, cls long, n int, low boolean, sampled int, late boolean"), "shared")
     for _ in range(PEELS):
         shared = without_unshared(shared)
     shared = shared.select("token", "cls", "n", "late")
     early = shared.where("not late").drop("late").repartition(wide, "token").sortWithinPartitions("token", "n", "cls")
-    both = early.mapInArrow(_pivots, "piv long, cls long, n int").union(late_pairs(spark, shared.where("late")))
+    both = early.mapInArrow(lean(_pivots), "piv long, cls long, n int").union(late_pairs(spark, shared.where("late")))
     pairs = stored(spark, both.groupBy("piv", "cls").agg(F.first("n").alias("n")), "candidates")
     pairs = stored(spark, without_contained(spark, pairs), "groups")
 
@@ -445,7 +445,7 @@ def classes_of(spark: SparkSession, df: DataFrame) -> tuple[DataFrame, DataFrame
     wanted = pairs.select("cls").union(pairs.select(F.col("piv").alias("cls"))).distinct()
     reps = first.join(wanted, "cls", "left_semi").select("cls", F.col("r.doc_id").alias("rid"), F.col("r.t").alias("rt"))
     texts = docs.join(reps, docs.t.eqNullSafe(reps.rt) & docs.doc_id.eqNullSafe(reps.rid)).select("cls", "text").dropDuplicates(["cls"])
-    texts = stored(spark, texts.mapInArrow(_pack, "cls long, packed binary"), "texts")
+    texts = stored(spark, texts.mapInArrow(lean(_pack), "cls long, packed binary"), "texts")
 
     # a group's members, in blocks where it is large, each with the pivot
     sizes = pairs.groupBy("piv").agg((F.greatest(F.ceil((F.count(F.lit(1)) + 1) / BLOCK_CLASSES), F.ceil(F.sum("n") / BLOCK_TOKENS))).cast("int").alias("nb"))
@@ -456,7 +456,7 @@ def classes_of(spark: SparkSession, df: DataFrame) -> tuple[DataFrame, DataFrame
 
     def met(rows: DataFrame, across: bool) -> DataFrame:
         held = rows.select("piv", "x", "y", "side", "cls").join(texts, "cls").repartition(wide, "piv", "x", "y").sortWithinPartitions("piv", "x", "y", "cls", "side")
-        return held.mapInArrow(_verify(hot, across), verified)
+        return held.mapInArrow(lean(_verify(hot, across)), verified)
 
     star = stored(spark, met(members.union(center).withColumn("x", F.col("block")).withColumn("y", F.lit(0)), False), "stars")
 

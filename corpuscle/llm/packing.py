@@ -6,7 +6,9 @@ class sizes capacity/j whose bins waste at most ``WASTE`` ids (largest first), a
 class whole. What stays in unfinished bins when a task ends is laid end to end and cut at the capacity; the last of that
 is cut into powers of two, so it needs no padding. A sequence is padded to the capacity unless its length is a power of two.
 
-Null and empty texts are documents of the end id alone. Repeated rows are packed each for itself.
+Null and empty texts are documents of the end id alone. Repeated rows and rows without doc_id are packed each for itself. A
+very long text is cut as any other; its ids are held by one task. Columns beside doc_id and text are not looked at, whatever
+their names. A table without rows gives no piece.
 """
 
 from __future__ import annotations

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Spans, Words, _U, documents, mix, slices, stored, text_buffer, unused
+from ._common import documents, lean, mix, slices, Spans, stored, text_buffer, unused, Words, _U
 
 ALPHA, DELTA, NEARLY, TUNING, SEED = 0.05, 0.05, 0.98, 1, 11
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
@@ -112,7 +112,7 @@ def _stats_rows(it):
 def stats(df: DataFrame) -> DataFrame:
     """doc_id, lang and the statistics of every text."""
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
-    return docs.mapInArrow(_stats_rows, "doc_id long, lang string, " + ", ".join(f"{s} long" for s in STATS))
+    return docs.mapInArrow(lean(_stats_rows), "doc_id long, lang string, " + ", ".join(f"{s} long" for s in STATS))
 
 
 def ratio(rule: str):
@@ -192,7 +192,7 @@ def calibrate(spark: SparkSession, table: DataFrame, labels: DataFrame, alpha: f
     firsts = [F.coalesce(F.size(F.filter(F.col(f"path_{r}"), (lambda r: lambda c: F.col(r) <= c)(r))), F.lit(STEPS)) for r in RULES]
     firsts = [F.when(F.col(f"path_{r}").isNull(), STEPS).otherwise(x) for r, x in zip(RULES, firsts)]
     counts = holdout.groupBy("stratum", (F.col("quality") > 0).alias("good"), F.least(*firsts).alias("at")).agg(F.count(F.lit(1)).alias("n"))
-    steps = counts.groupBy("stratum").agg(F.collect_list(F.struct("good", "at", "n")).alias("counts")).mapInArrow(_choose_rows(alpha, delta / max(1, strata)), "stratum string, step int")
+    steps = counts.groupBy("stratum").agg(F.collect_list(F.struct("good", "at", "n")).alias("counts")).mapInArrow(lean(_choose_rows(alpha, delta / max(1, strata))), "stratum string, step int")
     found = steps.where("step is not null").join(path, "stratum")
     return stored(spark, found.select("stratum", *[F.element_at(r, F.col("step") + 1).alias(f"c_{r}") for r in RULES]), "cutoffs")
 
@@ -232,7 +232,7 @@ def keep_good(spark: SparkSession, df: DataFrame, labels: DataFrame) -> DataFram
     cut = cutoffs.select(F.col("stratum").alias("own_stratum"), row)
     cut = F.broadcast(cut) if cutoffs.count() <= BROADCAST_STRATA else cut
     joined = df.join(cut, stratum() == F.col("own_stratum"), "left").select(*[df[c] for c in df.columns], own)
-    return joined.mapInArrow(run, df.schema)
+    return joined.mapInArrow(lean(run), df.schema)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,11 +2,16 @@
 
 A file is a run of independent zstd frames of about ``FRAME_BYTES`` raw bytes, a skippable frame with the first doc_id of each
 frame, and a trailing seek table in the layout of zstd's seekable format (a skippable frame with the compressed size, raw
-size and XXH64 checksum of each frame, and a footer). A frame holds whole documents: their number, doc_ids, id counts and
-ids. A reader finds a document's frame from the tables at the end and decompresses only that one, checking its checksum.
+size and XXH64 checksum of each frame, and a footer). A frame holds whole documents: their number, doc_ids, id counts, flags
+and ids. A reader finds a document's frame from the tables at the end and decompresses only that one, checking its checksum.
 
-Files are in doc_id order, one for each range of doc_ids, written under a task's own name and renamed when whole, so a
-task that runs again replaces its file. A null doc_id is kept as the least 64-bit integer, before all others.
+Files are in doc_id order, ties by the start of the text and then its hash, one file for each range of these and the row, written
+under a task's own name and renamed when whole: a task that runs again replaces its file, one that fails takes its own away. A document's flag says whether
+its doc_id is null, so each 64-bit doc_id can be told from a null one, which comes before all others.
+
+Null and empty texts are documents of the end id alone. Repeated rows are documents each, one after another, and a doc_id that
+very many rows have spans several files. A very long text is one document in a frame of its own. Columns beside doc_id and
+text are not looked at, whatever their names. A table without rows gives files without frames.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import documents, id_and_text, parallelism, work_dir
+from ._common import documents, id_and_text, numbered, parallelism, unused, work_dir
 from .bpe import BYTE_BPE, Encoder, text_lots, tokenizer_path
 
 FRAME_BYTES, LEVEL, END_ID = 1 << 20, 3, 0
@@ -37,19 +42,20 @@ class Writer:
 
     def __init__(self, out, frame_bytes: int = FRAME_BYTES, level: int = LEVEL):
         self.out, self.most, self.zstd = out, frame_bytes, zstandard.ZstdCompressor(level=level)
-        self.docs: list[tuple[int, bytes]] = []
+        self.docs: list[tuple[int, bytes, bool]] = []
         self.size, self.table, self.firsts = 0, [], []
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
-        self.docs.append((NO_ID if doc_id is None else doc_id, ids))
-        self.size += len(ids) + 12
+        self.docs.append((NO_ID if doc_id is None else doc_id, ids, doc_id is None))
+        self.size += len(ids) + 13
         if self.size >= self.most:
             self._frame()
 
     def _frame(self) -> None:
-        ids = np.array([d for d, _ in self.docs], "<i8")
-        sizes = np.array([len(x) // 4 for _, x in self.docs], "<u4")
-        raw = struct.pack("<I", len(self.docs)) + ids.tobytes() + sizes.tobytes() + b"".join(x for _, x in self.docs)
+        ids = np.array([d for d, *_ in self.docs], "<i8")
+        sizes = np.array([len(x) // 4 for _, x, _ in self.docs], "<u4")
+        null = bytes(n for *_, n in self.docs)
+        raw = struct.pack("<I", len(self.docs)) + ids.tobytes() + sizes.tobytes() + null + b"".join(x for _, x, _ in self.docs)
         packed = self.zstd.compress(raw)
         self.out.write(packed)
         self.table.append((len(packed), len(raw), xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF))
@@ -95,8 +101,9 @@ class Reader:
             raise ValueError(f"frame {i} is damaged")
         (n,) = struct.unpack_from("<I", raw)
         ids, sizes = np.frombuffer(raw, "<i8", n, 4), np.frombuffer(raw, "<u4", n, 4 + 8 * n)
-        ends = 4 + 12 * n + 4 * np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
-        return [(None if d == NO_ID else int(d), raw[a:b]) for d, a, b in zip(ids, ends[:-1], ends[1:])]
+        null = raw[4 + 12 * n : 4 + 13 * n]
+        ends = 4 + 13 * n + 4 * np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+        return [(None if no else d, raw[a:b]) for d, no, a, b in zip(ids.tolist(), null, ends[:-1].tolist(), ends[1:].tolist())]
 
     def find(self, doc_id: int | None) -> list[bytes]:
         """The ids of every document of this doc_id; only frames that can hold it are decompressed."""
@@ -117,24 +124,31 @@ def write_ids(spark: SparkSession, df: DataFrame, folder: str, path: str | None
         store.create_dir(root, recursive=True)
         final, own = f"{root}/part-{part:06d}.zst", f"{root}/.part-{part:06d}-{uuid.uuid4().hex}"
         enc, docs, total = Encoder.of(path), 0, 0
-        with store.open_output_stream(own) as out:
-            w = Writer(out, frame_bytes)
-            for batch in it:
-                names = batch.column("doc_id").to_pylist()
-                for i, j, b, off in text_lots(batch):
-                    ids, at = enc.lot(b, off)
-                    raw, ends = ids.tobytes(), (4 * at).tolist()
-                    for doc, x, y in zip(names[i:j], ends, ends[1:]):
-                        w.add(doc, raw[x:y] + end)
-                    docs += j - i
-                    total += len(ids) + j - i
-            w.close()
+        try:
+            with store.open_output_stream(own) as out:
+                w = Writer(out, frame_bytes)
+                for batch in it:
+                    names = batch.column("doc_id").to_pylist()
+                    for i, j, b, off in text_lots(batch):
+                        ids, at = enc.lot(b, off)
+                        raw, ends = ids.tobytes(), (4 * at).tolist()
+                        for doc, x, y in zip(names[i:j], ends, ends[1:]):
+                            w.add(doc, raw[x:y] + end)
+                        docs += j - i
+                        total += len(ids) + j - i
+                w.close()
+        except BaseException:
+            if store.get_file_info(own).type != fs.FileType.NotFound:
+                store.delete_file(own)
+            raise
         if store.get_file_info(final).type != fs.FileType.NotFound:
             store.delete_file(final)
         store.move(own, final)
         yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (part, final, docs, total)], names=["part", "file", "docs", "ids"])
 
-    dealt = id_and_text(df).repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    (row,) = unused(df, 1)
+    order = F.col("doc_id").asc_nulls_first(), F.substring("text", 1, 16), F.xxhash64("text"), F.col(row)
+    dealt = id_and_text(numbered(spark, df, row), row).repartitionByRange(n, *order).sortWithinPartitions(*order).drop(row)
     return sorted(tuple(r) for r in dealt.mapInArrow(run, "part long, file string, docs long, ids long").collect())
 
 

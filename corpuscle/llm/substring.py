@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Spans, Words, documents, mix, parallelism, ragged, signed, slices, stored, text_buffer, unused
+from ._common import documents, lean, mix, parallelism, ragged, signed, slices, Spans, stored, text_buffer, unused, Words
 
 WINDOW, GRAM = 35, 8
 ANCHOR_SEGMENTS, SHARD_WORDS = 4096, 400_000
@@ -391,8 +391,8 @@ def repeated_spans(spark: SparkSession, df: DataFrame, anchor_segments: int = AN
     docs = keyed(df)
     wide = parallelism(spark, docs)
     key = F.when(F.col("known") == 2, F.xxhash64("t", "start", "doc_id")).otherwise(F.col("anchor"))
-    dealt = docs.mapInArrow(_segments, _SEGMENT).repartition(wide, key).sortWithinPartitions("anchor", "seg")
-    found = stored(spark, dealt.mapInArrow(_sort_segments(anchor_segments), _SORTED), "segments")
+    dealt = docs.mapInArrow(lean(_segments), _SEGMENT).repartition(wide, key).sortWithinPartitions("anchor", "seg")
+    found = stored(spark, dealt.mapInArrow(lean(_sort_segments(anchor_segments)), _SORTED), "segments")
     different = found.where(f"kind = {SEGMENT}")
     total = different.agg(F.sum(F.col("windows") + WINDOW - 1)).first()[0]
     if total is None:
@@ -401,7 +401,7 @@ def repeated_spans(spark: SparkSession, df: DataFrame, anchor_segments: int = AN
     asked = different.join(hot, "anchor", "left").select("doc_id", "t", F.struct("anchor", "seg", "times", F.coalesce("hot", F.lit(False)).alias("hot"), "start", "windows").alias("one"))
     by_text = asked.groupBy(F.col("doc_id").alias("d"), F.col("t").alias("dt")).agg(F.collect_list("one").alias("asked"))
     joined = docs.join(by_text, docs.t.eqNullSafe(by_text.dt) & docs.doc_id.eqNullSafe(by_text.d)).dropDuplicates(["doc_id", "t"])
-    contents = stored(spark, joined.select("text", "asked").mapInArrow(_contents, _CONTENT), "contents")
+    contents = stored(spark, joined.select("text", "asked").mapInArrow(lean(_contents), _CONTENT), "contents")
     whole, cut = contents.where("not hot").select("anchor", "seg", "times", "words"), contents.where("hot")
 
     # the windows of hot anchors, one of each hash that was seen twice or more
@@ -414,7 +414,7 @@ def repeated_spans(spark: SparkSession, df: DataFrame, anchor_segments: int = AN
     n_shards = max(1, -(-total // shard_words))
     shard = F.pmod(F.xxhash64("anchor"), F.lit(n_shards)).alias("shard")
     sharded = whole.union(again).select(shard, "anchor", "seg", "times", "words").repartition(min(n_shards, max(wide, n_shards // 4)), "shard").sortWithinPartitions("shard", "anchor", "seg")
-    runs = stored(spark, sharded.mapInArrow(_search_shards, _RUN), "runs")
+    runs = stored(spark, sharded.mapInArrow(lean(_search_shards), _RUN), "runs")
 
     one = single.join(runs.where("seg is null").select(F.col("anchor").alias("window")), "window").select("anchor", "seg", "at", F.lit(1).alias("n"))
     every = runs.where("seg is not null").union(one).groupBy("anchor", "seg").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
@@ -465,7 +465,7 @@ def op_substring_dedup(spark: SparkSession, df: DataFrame, **bounds) -> DataFram
                 n, gone, digest = zip(*rows)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest)], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return docs.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return docs.mapInArrow(lean(run), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove_repeats(spark: SparkSession, df: DataFrame, **bounds) -> DataFrame:
@@ -486,7 +486,7 @@ def remove_repeats(spark: SparkSession, df: DataFrame, **bounds) -> DataFrame:
                 out = out.set_column(at, out.schema.field(at), pa.array([None if t is None else len(t) for t in texts], out.schema.field(at).type))
             yield out
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def op9_substring_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,8 @@ library's: of paths with the same (64-bit) score to a place, the one whose last
 without a one-character piece may also be unknown, at the least score of the vocabulary minus 10; unknown characters in a
 row are one token, or with byte fallback one for each of their bytes, if all those have byte pieces.
 
-Null and empty texts have no tokens.
+Null and empty texts have no tokens. A null doc_id and repeated rows are rows as any other. A very long text is counted word by
+word, whole. Columns beside doc_id and text are not looked at, whatever their names. A table without rows gives none.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ The fit uses at most ``SAMPLE`` labelled texts of each class, chosen by a seeded
 crc32(doc_id) mod 5 is not 0; that bounds what reaches the driver (a text gives at most 2**18 features). Scoring runs over
 all texts. A doc_id that is labelled twice counts as toxic if any of its labels does; null labels are not used. A null or
 empty text has no feature and gets the intercept's score; a null doc_id counts as held out. Without labels of both classes
-every score is the share of toxic labels (0 if none).
+every score is the share of toxic labels (0 if none). Repeated rows are scored each for itself; a very long text is scored
+whole, in one step. Columns beside doc_id and text are passed on by ``drop_toxic``, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import _U, documents, slices, text_buffer
+from ._common import documents, lean, slices, text_buffer, _U
 
 BITS, ORDERS, SAMPLE, SEED = 18, (3, 4, 5), 1000, 7
 SMOOTH, LEAST_DOCS, LEAST_Z, L2, ROUNDS, RATE = 0.5, 4, 2.5, 0.1, 200, 0.05
@@ -77,7 +78,7 @@ def fit(spark: SparkSession, df: DataFrame, labels: DataFrame, sample: int = SAM
         return weight, 20.0 if prior == 1 else -20.0
     picked = spark.createDataFrame([tuple(r) for c in chosen for r in c.collect()], "doc_id long, toxic int")  # 2 * sample rows at most
     texts = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")
-    got = texts.select("toxic", "text").mapInArrow(_features, "toxic int, f binary").collect()
+    got = texts.select("toxic", "text").mapInArrow(lean(_features), "toxic int, f binary").collect()
     # in an order of their own, so that sums come out alike however tasks end
     got = sorted(((int(r.toxic), bytes(r.f)) for r in got), key=lambda r: (r[0], len(r[1]), zlib.crc32(r[1])))
     y = np.array([t for t, _ in got])
@@ -133,7 +134,7 @@ def score_toxicity(spark: SparkSession, df: DataFrame, labels: DataFrame, sample
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
-    return docs.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.mapInArrow(lean(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def drop_toxic(spark: SparkSession, df: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -145,7 +146,7 @@ def drop_toxic(spark: SparkSession, df: DataFrame, labels: DataFrame, sample: in
         for batch in it:
             yield batch.filter(pa.array(scores(batch.column("text"), weight, b) < 0.5))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(lean(run), df.schema)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

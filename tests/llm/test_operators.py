@@ -636,3 +636,84 @@ def test_compressed_bits():
         b, at = substring.Bits(bits), np.arange(n + 1)
         assert (b.rank(at) == np.concatenate(([0], np.cumsum(bits)))).all()
     assert len(b.words) < n // 64  # long runs are stored once
+
+
+# --- very long texts, rows that repeat, empty tables
+
+
+@pytest.fixture(scope="module")
+def long_rows():
+    """Texts of several MB, one of a single word, with a passage that another text has; and rows that repeat."""
+    rnd = np.random.default_rng(7)
+    passage = " ".join(f"shared{i}" for i in range(60))
+    words = [f"w{i}" for i in range(5000)]
+    huge = " ".join(rnd.choice(words, 400_000))
+    near = huge.split(" ")
+    near[1000] = "other"
+    return [(1, huge + "\n" + passage), (2, "short " + passage), (3, "x" * 2_500_000), (4, "\n".join(["a line of it"] * 120_000)), (5, ""), (6, None), (7, "twice here"), (7, "twice here"), (8, " ".join(near))]
+
+
+@pytest.fixture(scope="module")
+def long_table(spark, long_rows):
+    return table(spark, long_rows)
+
+
+def test_long_texts_fingerprints_and_shards(spark, long_rows, long_table):
+    got = fingerprints.op_fingerprints(spark, long_table).collect()
+    assert Counter((r.doc_id, r.n_chars, r.fingerprint) for r in got) == Counter((d, len(t or ""), fingerprints.fingerprint(t)) for d, t in long_rows)
+    following = dict(zip([d for d, _ in long_rows], [*long_rows[1:], long_rows[0]]))
+    r = next(r for r in got if r.doc_id == 2)
+    assert r.edited_sha256 == hashlib.sha256(fingerprints.edited(long_rows[1][1], following[2][1]).encode()).hexdigest()
+    rows = sharding.external_shuffle(spark, long_table, bucket_bytes=1 << 20).select("doc_id", F.length("text").alias("n")).collect()
+    assert Counter(map(tuple, rows)) == Counter((d, None if t is None else len(t)) for d, t in long_rows)
+
+
+def test_long_texts_joins(spark, long_rows, long_table):
+    got = ngram_join.jaccard_components(spark, long_table).collect()
+    want = {1: (1, True), 8: (1, True), 2: (2, True), 3: (3, True), 4: (4, True), 5: (5, False), 6: (6, False), 7: (7, True)}
+    assert len(got) == 9 and all((r.component_id, r.n_shingles > 0) == want[r.doc_id] for r in got)
+    got = [tuple(r) for r in substring.op_substring_dedup(spark, long_table).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()]
+    assert sorted(got, key=str) == brute_kept(long_rows)
+
+
+def test_long_texts_tokens(spark, long_rows, long_table):
+    want = {name: {t: library_ids(name, t) for _, t in long_rows} for name in (bpe.BYTE_BPE, bpe.WORD_BPE)}
+    got = bpe.op_bpe_round_trip(spark, long_table).collect()
+    assert Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got) == Counter((d, len(want[bpe.BYTE_BPE][t]), hashlib.sha256(",".join(map(str, want[bpe.BYTE_BPE][t])).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()) for d, t in long_rows)
+    pieces = defaultdict(list)
+    for p in packing.pack_documents(spark, long_table).collect():
+        pieces[p.doc_id].append(p)
+    for d, t in long_rows:
+        if d != 7:
+            ids, at = [*want[bpe.WORD_BPE][t], 1], 0
+            for p in sorted(pieces[d], key=lambda p: p.start):
+                assert p.start == at and p.length <= 2048 and p.ids_crc32 == zlib.crc32(np.array(ids[at : at + p.length], "<u4").tobytes())
+                at += p.length
+            assert at == len(ids)
+    assert sum(p.length for p in pieces[7]) == 2 * (len(want[bpe.WORD_BPE]["twice here"]) + 1)
+    words = {r.doc_id: (r.n_words, r.n_tokens > 0) for r in token_counts.count_tokens(spark, long_table.where("doc_id <> 3")).collect()}
+    assert words[5] == words[6] == (0, False) and words[1] == (400_060, True) and words[7] == (2, True)
+    assert token_counts.count_tokens(spark, long_table.limit(0)).count() == 0
+
+
+def test_long_texts_files(spark, long_rows, long_table, tmp_path):
+    rows = [*long_rows, (None, "no id"), (-(2**63), "least id")]
+    folder = f"file://{tmp_path}/ids"
+    got = collect(seekable.read_ids(spark, folder, seekable.write_ids(spark, table(spark, rows), folder)), "start")
+    assert [r["doc_id"] for r in got] == [None, -(2**63), 1, 2, 3, 4, 5, 6, 7, 7, 8]
+    at, by_id = 0, dict(rows)
+    for r in got:
+        ids = library_ids(bpe.BYTE_BPE, by_id[r["doc_id"]]) + [0]
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+    assert not [f for f in os.listdir(f"{tmp_path}/ids") if f.startswith(".part") and not f.endswith(".crc")]
+
+
+def test_long_texts_scores(spark, long_rows, long_table):
+    _, labels = labelled(spark)
+    got = toxicity.score_toxicity(spark, long_table, labels).collect()
+    assert Counter(r.doc_id for r in got) == Counter(d for d, _ in long_rows)
+    texts_of = dict(long_rows)
+    for r in quality.judge(spark, long_table, labels).collect():
+        if r.doc_id != 3:
+            assert tuple(r[c] for c in quality.STATS[:5]) == brute_stats(texts_of[r.doc_id] or "")
