@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept and returns the columns of docs; the last
 returns the packed pieces. The stages: drop toxic documents, drop low-quality documents, keep one document of each group of
 near duplicates, take repeated passages out of the texts, pack token ids into sequences.
+
+What a stage does with nulls, empty and very long texts, ties, repeated rows and other columns is its operator's: a null or
+empty text has no toxic feature, fails the base rule of the quality rules and so ends there; a row without doc_id goes through
+as any other; of repeated rows one stays after the third stage; columns that documents have besides are passed on to the last
+stage, whatever their names, and an empty table gives empty tables all the way.
 """
 
 from __future__ import annotations
