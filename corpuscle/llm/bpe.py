@@ -36,10 +36,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import _bytes_pow as byte_powers
-from ._common import documents, id_and_text, mix, most_frequent, ragged, slices, text_buffer, work_dir
+from ._common import documents, id_and_text, lean, mix, most_frequent, ragged, slices, text_buffer, work_dir
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
-LEXICON_WORDS, LOCAL_WORDS, MEMO_WORDS, LONG_WORD = 100_000, 60_000, 2_000_000, 64
+LEXICON_WORDS, LOCAL_WORDS, MEMO_WORDS, LONG_WORD = 100_000, 60_000, 500_000, 64
 #: bytes of text that are encoded together; a longer single text is a lot of its own
 LOT_BYTES = 2 << 20
 
@@ -735,7 +735,7 @@ def frequent_words(spark: SparkSession, df: DataFrame, path: str, most: int = LE
         for k in range(0, len(top), 10_000):
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top[k : k + 10_000]], pa.binary()), pa.array([c for _, c in top[k : k + 10_000]], pa.int64())], names=["word", "n"])
 
-    counted = df.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = df.select("text").mapInArrow(lean(count), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     words = [bytes(r.word) for r in most_frequent(spark, counted, "n", most).select("word").collect()]
     flat, off = flat_bytes(pa.array(words, pa.large_binary()))
     ids, n = Encoder.of(path).learn(flat, off[:-1], np.diff(off))
@@ -775,7 +775,7 @@ def op_bpe_round_trip(spark: SparkSession, df: DataFrame, path: str | None = Non
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.mapInArrow(lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op6_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:

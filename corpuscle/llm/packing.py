@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from ._common import documents, id_and_text
+from ._common import documents, id_and_text, lean
 from .bpe import WORD_BPE, Encoder, text_lots, tokenizer_path
 
 CAPACITY, REST, WASTE, END_ID = 2048, 64, 4, 1
@@ -113,7 +113,7 @@ def pack_documents(spark: SparkSession, df: DataFrame, path: str | None = None,
         packer.close()
         yield from placed()
 
-    return id_and_text(df).mapInArrow(run, _OUT)
+    return id_and_text(df).mapInArrow(lean(run), _OUT)
 
 
 def op5_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import documents, id_and_text, numbered, parallelism, unused, work_dir
+from ._common import documents, id_and_text, lean, numbered, parallelism, unused, work_dir
 from .bpe import BYTE_BPE, Encoder, text_lots, tokenizer_path
 
 FRAME_BYTES, LEVEL, END_ID = 1 << 20, 3, 0
@@ -149,7 +149,7 @@ def write_ids(spark: SparkSession, df: DataFrame, folder: str, path: str | None
     (row,) = unused(df, 1)
     order = F.col("doc_id").asc_nulls_first(), F.substring("text", 1, 16), F.xxhash64("text"), F.col(row)
     dealt = id_and_text(numbered(spark, df, row), row).repartitionByRange(n, *order).sortWithinPartitions(*order).drop(row)
-    return sorted(tuple(r) for r in dealt.mapInArrow(run, "part long, file string, docs long, ids long").collect())
+    return sorted(tuple(r) for r in dealt.mapInArrow(lean(run), "part long, file string, docs long, ids long").collect())
 
 
 def read_ids(spark: SparkSession, folder: str, parts: list[tuple]) -> DataFrame:
