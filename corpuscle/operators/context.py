@@ -1,13 +1,17 @@
 """Context bundles: for a question in words, the symbols and lines that matter most.
 
-Keywords and terms come from the short question on the driver; candidates, scores and ranks are one plan over the symbols and
-lines, with the keywords as literals.
+Keywords and terms come from the short question on the driver. Over files, built-in functions on the text tell the files that
+may matter; only those are outlined or taken apart into lines, and only symbols that may be candidates are scored. What is
+bounded by the question (the paths near its keywords, the ranked symbols) is collected and goes into the next plan.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import insort
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -15,6 +19,7 @@ from pyspark.sql import Window as W
 from ..functions import exprs as X
 from ..functions import globs
 from ..sources.adapters import line_table
+from . import outline
 
 # fixed values: words that carry no meaning, words that ask for tests, words of action
 STOP = "what when where which with this that from into does work works look find show how why the and for application".split()
@@ -117,20 +122,105 @@ def allowed(path: Column, prefix: str = "", glob: str | None = None, language: s
     return cond & (X.language(path) == language.lower()) if language is not None else cond
 
 
+def _ends(values: list, within) -> list:
+    """The values that no other value is ``within``; of equal ones the first."""
+    return [v for i, v in enumerate(values) if not any(within(u, v) and (j < i or not within(v, u)) for j, u in enumerate(values) if j != i)]
+
+
+def _dealt(files: DataFrame) -> DataFrame:
+    """The rows over all cores, however they are split: what a filter leaves may stand in a few splits."""
+    return files.repartition(max(2 * files.sparkSession.sparkContext.defaultParallelism, files.rdd.getNumPartitions()))
+
+
+def _is_in(want: str, text: str) -> bool:
+    at = iter(text)
+    return all(c in at for c in want)
+
+
+def fuzzy(want: str, text: str) -> int | None:
+    """``exprs.fuzzy_score`` of one text."""
+    at, run, score, last = 0, 0, 0, -2
+    for c in want:
+        i = text.find(c, at)
+        if i < 0:
+            return None
+        run = run + 2 if i == last + 1 else 0
+        score += 1 + run + (5 if i == 0 or text[i - 1] in "/_-" else 0)
+        last, at = i, i + 1
+    return score
+
+
+def _nearest(asked: list[tuple[int, str]]):
+    """A task's best paths of each keyword; a file is outlined only if it would be one of them."""
+
+    def best_of(it):
+        best = {ord_: [] for ord_, _ in asked}
+        for b in it:
+            columns = {c: b.column(c).to_pylist() for c in b.schema.names}
+            for i, (path, low) in enumerate(zip(columns["path"], columns["low"])):
+                name, new = low.rsplit("/", 1)[-1], []
+                for ord_, want in asked:
+                    score = fuzzy(want, name)
+                    score = fuzzy(want, low) if score is None else score + 10
+                    if score is not None:
+                        held, row = best[ord_], (-score, path)
+                        if (len(held) < PATHS_A_KEYWORD or row < held[-1]) and row not in held:
+                            new.append((held, row))
+                if new and ("content" not in columns or outline.outline(columns["language"][i], columns["content"][i] or "", path)[0]):
+                    for held, row in new:
+                        insort(held, row)
+                        del held[PATHS_A_KEYWORD:]
+        rows = [(ord_, path, -score) for ord_, held in best.items() for score, path in held]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.string(), pa.int32()))], names=["ord", "path", "more"])
+
+    return best_of
+
+
 def near_paths(paths: DataFrame, ks: list[str]) -> DataFrame:
     """(path, near): the keywords (of 3 bytes and more) that a path is among the best fuzzy matches of, with rounded scores.
 
-    Every keyword has ``PATHS_A_KEYWORD`` paths at most, so this is a small table; only the best of each task are dealt.
+    paths: (path), or (path, content), of which only files with symbols count. Every keyword has ``PATHS_A_KEYWORD`` paths at
+    most, so this is a small table and is collected; only the best of each task are dealt.
     """
-    asked = F.array(*[F.struct(F.lit(i).alias("ord"), F.split(F.lit(k.lower()), "").alias("want")) for i, k in enumerate(ks) if len(k.encode()) >= 3])
+    asked = [(i, k.lower()) for i, k in enumerate(ks) if len(k.encode()) >= 3]
     low = F.lower("path")
-    values = {"name": F.substring_index(low, "/", -1), "path": low}
-    score = lambda x, k: F.coalesce(X.fuzzy_score_of(k["want"], x["name"]) + F.lit(10).cast("float"), X.fuzzy_score_of(k["want"], x["path"]))
-    scores = _once(values, lambda x: F.transform(asked, lambda k: F.struct(k["ord"].alias("ord"), score(x, k).alias("score"))))
-    rows = paths.select("path", F.explode(scores).alias("s")).select("path", "s.*").where("score > 0")
-    place = F.row_number().over(W.partitionBy("ord").orderBy(F.desc("score"), "path"))
+    has_all = lambda k: "".join(f"[^\\x{{{ord(c):x}}}]*+\\x{{{ord(c):x}}}" for c in k)
+    some = "^(?:" + "|".join(map(has_all, _ends([k for _, k in asked], _is_in))) + ")" if asked else "(?!)"
+    columns = ["path", low.alias("low")] + ([X.language(F.col("path")).alias("language"), "content"] if "content" in paths.columns else [])
+    rows = paths.where(low.rlike(some)).select(*columns).mapInArrow(_nearest(asked), "ord int, path string, more int").distinct()
+    place = F.row_number().over(W.partitionBy("ord").orderBy(F.desc("more"), "path"))
     best = rows.withColumn("place", place).where(F.col("place") <= PATHS_A_KEYWORD)
-    return best.groupBy("path").agg(F.collect_list(F.struct("ord", F.round("score").cast("int").alias("more"))).alias("near"))
+    best = best.groupBy("path").agg(F.collect_list(F.struct("ord", "more")).alias("near")).collect()
+    return paths.sparkSession.createDataFrame(best, "path string, near array<struct<ord:int,more:int>>")
+
+
+def _core(found: list[str]) -> list[str]:
+    return [t for t in found if len(t) >= 4 or t == "run"]
+
+
+def _may_define(question: str, ks: list[str]) -> Column:
+    """Whether a file can have a symbol that a keyword names or that several terms find: true for all that do, and for some more."""
+    text, path = F.col("content"), F.col("path")
+    low, plain = F.lower(text), X.ascii_lower(text)
+    named = [F.contains(low, F.lit(k)) for k in _ends([k.lower() for k in ks if k.isascii()], lambda a, b: a in b)]
+    named += [c for k in ks if not k.isascii() for c in (F.contains(text, F.lit(k)), F.contains(plain, F.lit(k.lower())))]
+    # a term's characters with anything between them that a normalised name leaves out
+    also = {"k": "\\x{212a}", "i": "\\x{130}"}
+    spelled = ["[^\\p{IsAlphabetic}\\p{N}]*+".join(f"[{c}{c.upper()}{also.get(c, '')}]" for c in t) for t in _core(terms(question))]
+    several = [reduce(lambda a, b: a + b, [x.rlike(t).cast("int") for t in spelled for x in (text, path)]) >= 2] if spelled else []
+    # keys of YAML are joined to names that stand nowhere in the text
+    return X.any_of(*named, *several, X.language(path) == "yaml")
+
+
+def _may_be(question: str, ks: list[str]) -> Column:
+    """Whether a symbol (path, name, near) has a way of becoming a candidate."""
+    name, core = F.col("name"), _core(terms(question))
+    by_name = name.isin(ks) | X.ascii_lower(name).isin([k.lower() for k in ks]) | F.col("near").isNotNull()
+    if not core:
+        return by_name
+    count = lambda text: reduce(lambda a, b: a + b, [F.contains(text, F.lit(t)).cast("int") for t in core])
+    in_name, in_path = count(X.normalised(name)), count(X.normalised(F.col("path")))
+    return by_name | (((in_name > 0) | (in_path >= 2)) & (in_name + in_path >= 2))
 
 
 def _score(question: str, ks: list[str], tests: bool) -> Column:
@@ -141,7 +231,7 @@ def _score(question: str, ks: list[str], tests: bool) -> Column:
     w, path = WEIGHTS, F.col("path")
     call = F.col("kind").isin(*CALLABLE)
     found = terms(question)
-    core = [t for t in found if len(t) >= 4 or t == "run"]
+    core = _core(found)
     actions = [a for a in ACTIONS if a in found]
     count = lambda text, words: F.size(F.filter(F.array(*map(F.lit, words)), lambda t: F.contains(text, t))) if words else F.lit(0)
     base = X.kind_score(F.col("kind")) + path_score(path, tests)
@@ -197,18 +287,49 @@ def ranked_symbols(symbols: DataFrame, question: str, limit: int = TOP, prefix:
 
     Fuzzy paths are looked up among all files with symbols, before the filter of paths.
     """
-    tests, ks = asks_for_tests(question), keywords(question)
+    ks = keywords(question)
     s = symbols.where("kind <> 'import'")
     if not ks:
         return s.select("path", "name", "kind", "line_start", "line_end", F.lit(0).alias("score")).limit(0)
-    near = near_paths(symbols.select("path").distinct(), ks)  # PATHS_A_KEYWORD rows a keyword at most
+    near = near_paths(symbols.select("path").distinct(), ks)
     calls = s.where(F.col("kind").isin(*CALLABLE)).groupBy("path").agg(F.collect_set(X.normalised(F.col("name"))).alias("callables"))
-    s = s.where(allowed(F.col("path"), prefix, glob, language)).join(F.broadcast(near), "path", "left").join(calls, "path", "left")
+    s = s.where(allowed(F.col("path"), prefix, glob, language)).join(F.broadcast(near), "path", "left").where(_may_be(question, ks))
+    return _ranked(s.join(calls, "path", "left"), question, ks, limit)
+
+
+def ranked_in(files: DataFrame, question: str, limit: int = TOP, prefix: str = "", glob: str | None = None, language: str | None = None) -> DataFrame:
+    """``ranked_symbols`` of (path, content) files with a path each; only files that may have a candidate are outlined."""
+    ks, path = keywords(question), F.col("path")
+    if not ks:
+        return ranked_symbols(outline.symbols(files), question)
+    near = near_paths(files.select("path", "content"), ks)
+    few = files.where(allowed(path, prefix, glob, language)).where(path.isin([r.path for r in near.collect()]) | _may_define(question, ks))
+    s = outline.outlines(_dealt(few.select("path", "content"))).select("path", "symbols", F.explode("symbols").alias("s"))
+    s = s.select("path", "symbols", "s.*").where("kind <> 'import'").join(F.broadcast(near), "path", "left").where(_may_be(question, ks))
+    calls = F.filter("symbols", lambda x: x["kind"].isin(*CALLABLE))
+    return _ranked(s.withColumn("callables", F.array_distinct(F.transform(calls, lambda x: X.normalised(x["name"])))), question, ks, limit)
+
+
+def _ranked(s: DataFrame, question: str, ks: list[str], limit: int) -> DataFrame:
+    """The first symbols of (path, name, kind, line_start, line_end, near, callables)."""
+    tests = asks_for_tests(question)
     none = F.array().cast("array<struct<ord:int,more:int>>")
     s = s.withColumn("near", F.coalesce("near", none)).withColumn("callables", F.coalesce("callables", F.array().cast("array<string>")))
     rows = s.select("path", "name", "kind", "line_start", "line_end", _score(question, ks, tests).alias("score")).where("score > 0")
     rows = rows.groupBy("path", "name", "kind", "line_start").agg(F.max("line_end").alias("line_end"), F.max("score").alias("score"))
-    return _without_tests(rows, tests).orderBy(F.desc("score"), path_rank(F.col("path")), "path", "line_start", "name").limit(limit)
+    rows = rows.select("path", "name", "kind", "line_start", "line_end", "score")
+    return _first(rows, tests, limit, F.desc("score"), path_rank(F.col("path")), "path", "line_start", "name", "kind")
+
+
+def _first(rows: DataFrame, tests: bool, limit: int, *order) -> DataFrame:
+    """The first rows in an order; tests only if asked for or alone. The rows are computed once."""
+    if not tests:
+        columns = rows.columns
+        rows = rows.withColumn("__test", X.is_test_path(F.col("path")))
+        place = F.row_number().over(W.partitionBy("__test").orderBy(*order))
+        rows = rows.withColumn("__place", place).where(F.col("__place") <= limit)  # of tests and of others
+        rows = rows.withColumn("__alone", F.bool_and("__test").over(W.partitionBy(F.lit(0)))).where("__alone or not __test").select(*columns)
+    return rows.orderBy(*order).limit(limit)
 
 
 def _without_tests(rows: DataFrame, tests: bool) -> DataFrame:
@@ -221,7 +342,7 @@ def _without_tests(rows: DataFrame, tests: bool) -> DataFrame:
 def bodies(files: DataFrame, ranked: DataFrame, most: int = BODY_LINES) -> DataFrame:
     """Ranked symbols with their source, cut to ``most`` lines."""
     lines = X.lines(F.col("content"))
-    joined = ranked.join(files.select("path", "content"), "path")
+    joined = files.select("path", "content").join(F.broadcast(ranked), "path")
     n = F.greatest(F.least(F.col("line_end"), F.size(lines), F.col("line_start") + most - 1) - F.col("line_start") + 1, F.lit(1))
     return joined.select("path", "name", "kind", "line_start", "line_end", "score", F.array_join(F.slice(lines, F.col("line_start"), n), "\n").alias("body"))
 

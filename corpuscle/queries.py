@@ -670,8 +670,7 @@ def token_estimate(spark, d):
 @query()
 def brief_symbols(spark, d):
     p = _keys(spark, d)
-    s = outline.symbols(p)
-    return context.bodies(p, context.ranked_symbols(s, "where does nation_7 call region"))
+    return context.bodies(p, context.ranked_in(p, "where does nation_7 call region"))
 
 
 @query()
@@ -684,7 +683,7 @@ def brief_snippets(spark, d):
 @query(EDGES + "SELECT CASE WHEN count(*) > 0 THEN 'high' ELSE 'low' END AS confidence, count(*) AS symbols FROM names WHERE path LIKE 'src/nation/%' AND name = 'nation_7'")
 def brief_confidence(spark, d):
     q = "where does nation_7 call region"
-    return context.confidence(context.ranked_symbols(outline.symbols(_keys(spark, d)), q, glob="src/nation/k7.ts"), q)
+    return context.confidence(context.ranked_in(_keys(spark, d), q, glob="src/nation/k7.ts"), q)
 
 
 @query(EDGES + "SELECT path, name, kind, CAST(line_start AS INTEGER) AS line_start FROM (SELECT path, name, 'function' AS kind, line_start FROM names WHERE path LIKE 'src/nation/%.ts' UNION ALL SELECT src, '../region/' || split_part(split_part(dst, '/', 3), '.', 1), 'import', 1 FROM e WHERE src LIKE 'src/nation/%.ts')")
