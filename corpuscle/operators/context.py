@@ -127,6 +127,10 @@ def _ends(values: list, within) -> list:
     return [v for i, v in enumerate(values) if not any(within(u, v) and (j < i or not within(v, u)) for j, u in enumerate(values) if j != i)]
 
 
+def _quoted(text: str) -> str:
+    return "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+
+
 def _dealt(files: DataFrame) -> DataFrame:
     """The rows over all cores, however they are split: what a filter leaves may stand in a few splits."""
     return files.repartition(max(2 * files.sparkSession.sparkContext.defaultParallelism, files.rdd.getNumPartitions()))
@@ -332,13 +336,6 @@ def _first(rows: DataFrame, tests: bool, limit: int, *order) -> DataFrame:
     return rows.orderBy(*order).limit(limit)
 
 
-def _without_tests(rows: DataFrame, tests: bool) -> DataFrame:
-    if tests:
-        return rows
-    other = rows.where(~X.is_test_path(F.col("path"))).agg((F.count(F.lit(1)) > 0).alias("__other"))
-    return rows.crossJoin(F.broadcast(other)).where(~F.col("__other") | ~X.is_test_path(F.col("path"))).drop("__other")
-
-
 def bodies(files: DataFrame, ranked: DataFrame, most: int = BODY_LINES) -> DataFrame:
     """Ranked symbols with their source, cut to ``most`` lines."""
     lines = X.lines(F.col("content"))
@@ -352,27 +349,37 @@ def snippets(files: DataFrame, ranked: DataFrame, question: str, limit: int = 20
 
     Each keyword gives ``HITS`` lines at most, in the order of a search (word, prefix, within a word; path; line) and before
     the filter of paths; the first keyword to reach a line fixes its score. All keywords are looked for in one pass over the
-    lines, and only the first hits of each task are dealt.
+    lines of the files that have one, and only the first hits of each task are dealt.
     """
     tests, ks = asks_for_tests(question), keywords(question)
-    order = W.orderBy(F.desc("score"), path_rank(F.col("path")), "path", "line_start", "name")
-    defs = ranked.withColumn("r", F.row_number().over(order) - 1).select("path", F.col("line_start").alias("line_num"), (F.lit(260) - 12 * F.col("r")).alias("score"), F.lit(-1).alias("ord"))
     lines = line_table(files)
     text, path = F.col("line_text"), F.col("path")
     if not ks:
         return lines.select("path", "line_num", "line_text", F.lit(0).alias("score")).limit(0)
+    top = ranked.orderBy(F.desc("score"), path_rank(path), "path", "line_start", "name", "kind").select("path", "line_start").collect()
+    defs = files.sparkSession.createDataFrame([(r.path, r.line_start, 260 - 12 * i, -1) for i, r in enumerate(top)], "path string, line_num int, score int, ord int")
+    paths = sorted({r.path for r in top})
 
     parts = [k.lower().split() or [k.lower()] for k in ks]
-    rows = [F.struct(F.lit(i).alias("ord"), F.array(*map(F.lit, p)).alias("parts"), F.lit(p[0]).alias("first"), F.lit(len(p[0].encode()) >= 3 and p[0].isascii()).alias("inside")) for i, p in enumerate(parts)]
-
-    def tier(k, x):
-        several = F.when(F.forall(k["parts"], lambda w: F.contains(x["low"], w)), 0)
-        one = F.when(F.array_contains(x["words"], k["first"]), 1).when(F.exists(x["words"], lambda w: F.startswith(w, k["first"])), 2).when(k["inside"] & F.contains(x["low"], k["first"]), 3)
-        return F.when(F.size(k["parts"]) > 1, several).otherwise(one)
-
-    found = lambda x: F.transform(F.array(*rows), lambda k: F.struct(k["ord"].alias("ord"), tier(k, x).alias("tier")))
-    hits = F.filter(_once({"low": F.lower(text), "words": X.tokens(text)}, found), lambda h: h["tier"].isNotNull())
-    said = lines.select("path", "line_num", "line_text", "language", F.explode(hits).alias("h")).select("path", "line_num", "line_text", "language", "h.*")
+    token = r"[\p{IsAlphabetic}\p{N}_]"
+
+    def tier(p):
+        if len(p) > 1:
+            return F.when(reduce(lambda a, b: a & b, [F.contains(F.lower(text), F.lit(w)) for w in p]), 0)
+        word, n = _quoted(p[0]), len(p[0])
+        inside = F.contains(F.lower(text), F.lit(p[0]))
+        out = F.when(~inside, None) if p[0].isascii() else F
+        out = out.when(text.rlike(f"(?i)(?<!{token})(?={token}{{{n}}}(?!{token})){word}"), 1).when(text.rlike(f"(?i)(?<!{token})(?={token}{{{n}}}){word}"), 2)
+        return out.when(inside, 3) if p[0].isascii() and n >= 3 else out
+
+    def may_have(text):
+        """Whether a text may have a line with a keyword; one whose parts are all within another's parts decides for both."""
+        has = lambda w: F.contains(F.lower(text), F.lit(w)) | (F.lit(False) if w.isascii() else F.contains(X.ascii_lower(text), F.lit(w)))
+        return X.any_of(*[reduce(lambda a, b: a & b, map(has, p)) for p in _ends(parts, lambda a, b: all(any(v in w for w in b) for v in a))])
+
+    said = line_table(_dealt(files.select("path", "content").where(may_have(F.col("content"))))).where(may_have(text))
+    hits = F.array(*[F.struct(F.lit(i).alias("ord"), tier(p).alias("tier")) for i, p in enumerate(parts)])
+    said = said.select("path", "line_num", "line_text", "language", F.explode(hits).alias("h")).where("h.tier is not null").select("path", "line_num", "line_text", "language", "h.*")
     place = F.row_number().over(W.partitionBy("ord").orderBy("tier", "path", "line_num"))
     said = said.withColumn("place", place).where(F.col("place") <= (HITS_WITH_TESTS if tests else HITS))
     first = said.groupBy("path", "line_num", "line_text", "language").agg(F.min("ord").alias("ord")).where(allowed(path, prefix, glob, language))
@@ -385,13 +392,12 @@ def snippets(files: DataFrame, ranked: DataFrame, question: str, limit: int = 20
 
     cases = _once({"low": F.lower(text), "path": F.lower(path), "ord": F.col("ord")}, score)
     place = X.choose((X.is_source_path(path), 20), (X.is_doc_path(path), -30), (X.is_example_path(path), -20), otherwise=0)
-    near = ranked.select("path").distinct().withColumn("near", F.lit(90))
     minus = F.when(X.is_comment_or_blank(text, F.col("language")), 20).otherwise(0) + F.when(X.is_import_line(text), 35).otherwise(0) + F.when(X.is_test_path(path) & F.lit(not tests), 80).otherwise(0)
-    said = first.join(F.broadcast(near), "path", "left")  # TOP rows at most
-    said = said.select("path", "line_num", "line_text", (cases + place + F.coalesce("near", F.lit(0)) - minus).alias("score"), "ord")
-    own = defs.join(lines.select("path", "line_num", "line_text"), ["path", "line_num"]).select("path", "line_num", "line_text", "score", "ord")
-    rows = own.unionByName(said).groupBy("path", "line_num", "line_text").agg(F.min_by("score", "ord").alias("score"))
-    return _without_tests(rows, tests).orderBy(F.desc("score"), path_rank(path), "path", "line_num").limit(limit)
+    near = F.when(path.isin(paths), 90).otherwise(0)
+    said = first.select("path", "line_num", "line_text", (cases + place + near - minus).alias("score"), "ord")
+    own = line_table(files.where(path.isin(paths))).join(F.broadcast(defs), ["path", "line_num"]).select("path", "line_num", "line_text", "score", "ord")
+    rows = own.unionByName(said).groupBy("path", "line_num", "line_text").agg(F.min_by("score", F.struct("ord", -F.col("score"))).alias("score"))
+    return _first(rows, tests, limit, F.desc("score"), path_rank(path), "path", "line_num", "line_text")
 
 
 def render(question: str, bodies_: DataFrame, snippets_: DataFrame, confidence_: str) -> str:

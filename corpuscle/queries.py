@@ -677,7 +677,7 @@ def brief_symbols(spark, d):
 def brief_snippets(spark, d):
     p = _keys(spark, d)
     q = "where does nation_7 call region"
-    return context.snippets(p, context.ranked_symbols(outline.symbols(p), q), q)
+    return context.snippets(p, context.ranked_in(p, q), q)
 
 
 @query(EDGES + "SELECT CASE WHEN count(*) > 0 THEN 'high' ELSE 'low' END AS confidence, count(*) AS symbols FROM names WHERE path LIKE 'src/nation/%' AND name = 'nation_7'")

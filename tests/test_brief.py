@@ -1,5 +1,6 @@
 """Bundles over many files: what is outlined, and the same results as over all symbols."""
 
+import re
 import time
 
 import pyarrow as pa
@@ -72,3 +73,31 @@ def test_brief_symbols_of_many_files_ends(spark):
     rows = __spark_entry__.queries()["brief_symbols"](spark, "/root/testdata/sf0.1").collect()
     assert max((r.score, r.path, r.name) for r in rows)[1:] == ("src/nation/k7.ts", "nation_7") and len(rows) == context.TOP
     assert time.time() - began < 120  # not ended after 230 s when every path was scored by interpreted expressions
+
+
+def test_brief_snippets_reads_few_lines(spark):
+    d = "/root/testdata/sf0.001"
+    df = __spark_entry__.queries()["brief_snippets"](spark, d)
+    assert "MapInArrow" not in df._jdf.queryExecution().optimizedPlan().toString()  # the ranked symbols are known by then
+    assert df.first().path == "src/nation/k7.ts"
+
+
+def test_snippets_find_what_a_search_finds(spark):
+    """Tiers of each keyword, said again in plain Python over every line."""
+    texts = ["nation_7 is", "the Nation", "nation_71", "nation7x", "subnation_7", "call 7", "recall", "NATION_7()", "a nation_7_call b", "größe nation", "7 calls region", "é_nation_7", ""]
+    files = spark.createDataFrame([(f"lib/f{i:02}.xyz", t + "\n") for i, t in enumerate(texts)], "path string, content string")
+    none = context.ranked_symbols(outline.symbols(files), Q)
+
+    def tier(k, line):
+        parts, low, words = k.lower().split(), line.lower(), [w.lower() for w in re.findall(r"\w+", line)]
+        if len(parts) > 1:
+            return 0 if all(p in low for p in parts) else None
+        return next((t for t, hit in ((1, parts[0] in words), (2, any(w.startswith(parts[0]) for w in words)), (3, parts[0] in low)) if hit), None)
+
+    for q in (Q, '"größe" nation', "`7 call` subnation_7"):
+        ks, found = context.keywords(q), set()
+        for k in ks:
+            hits = sorted((t, i) for i, line in enumerate(texts) if (t := tier(k, line)) is not None)
+            found |= {i for _, i in hits[: context.HITS]}
+        got = context.snippets(files, none, q, 100).collect()
+        assert sorted(r.path for r in got) == [f"lib/f{i:02}.xyz" for i in sorted(found)]
